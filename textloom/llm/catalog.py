@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import distinctiveness, encoding, frequencies, packing
+from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing
 from textloom.plans.session import table
 
 
+def _similar(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    return near_duplicates.near_duplicates(table(spark, d, "indexable_docs"), shingle=3, threshold=0.6, least_words=25)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(_similar(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs(_similar(spark, d))
+
+
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     scored = distinctiveness.ppmi(table(spark, d, "postings"), table(spark, d, "indexed_docs"))
     return scored.select("doc_id", "term", "tf", "length", "df", F.round("ppmi", 6).alias("ppmi"))
