@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing
+from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing, visual_forms
 from textloom.plans.session import table
 
 
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    return visual_forms.normalise(table(spark, d, "indexable_docs").select("doc_id", "body").distinct())
+
+
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The form of every distinct term of the archive."""
+    terms = table(spark, d, "tokens").select("term").distinct()
+    return visual_forms.normalise(terms.withColumn("text", F.col("term")), "term", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    glossary = table(spark, d, "glossary")
+    tokens = visual_forms.disguised(table(spark, d, "tokens"), glossary, ["doc_id", "position"], "term", True)
+    bodies = visual_forms.disguised(table(spark, d, "indexable_docs"), glossary, ["doc_id"], "body", False)
+    return (
+        tokens.select(F.lit("token").alias("src"), "doc_id", "position", "term_id")
+        .unionByName(bodies.select(F.lit("body").alias("src"), "doc_id", F.lit(-1).alias("position"), "term_id"))
+        .distinct()
+    )
+
+
 def _similar(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
     return near_duplicates.near_duplicates(table(spark, d, "indexable_docs"), shingle=3, threshold=0.6, least_words=25)
 
