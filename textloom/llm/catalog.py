@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing, visual_forms
+from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing, splitting, visual_forms
 from textloom.plans.session import table
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "indexable_docs"), table(spark, d, "analyzer_options"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found(p1_pieces(spark, d))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual_forms.normalise(table(spark, d, "indexable_docs").select("doc_id", "body").distinct())
 
@@ -84,6 +92,15 @@ l AS (SELECT s.doc_id, coalesce(st.stated, s.total) AS length, s.total FROM s LE
 t AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM p GROUP BY term)"""
 
 _ORACLES = {
+    "p1_found": r"""WITH o AS (SELECT options_id, min(piece_chars) AS c, coalesce(min(max_token_length), 64) AS w
+  FROM analyzer_options GROUP BY options_id),
+b AS (SELECT DISTINCT doc_id, body, coalesce(o.c, 1200) AS c, coalesce(o.w, 64) AS w
+  FROM indexable_docs LEFT JOIN o USING (options_id) WHERE body IS NOT NULL AND doc_id IS NOT NULL),
+r AS (SELECT doc_id, w, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS run,
+  generate_subscripts(regexp_extract_all(body, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS k FROM b),
+q AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) - length(run) AS before FROM r)
+SELECT doc_id, 'body' AS kind, 0 AS start_offset FROM b WHERE length(body) > c
+UNION SELECT doc_id, 'token', before::INT FROM q WHERE length(run) > w AND regexp_matches(run, '^[\p{L}\p{N}_]')""",
     "p5_scores": f"""WITH {_POSTINGS},
 c AS (SELECT sum(pow(length::DOUBLE, 0.75)) AS c FROM l WHERE length > 0)
 SELECT p.doc_id, p.term, p.tf, l.length, t.df,
