@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import distinctiveness, encoding, frequencies, near_duplicates, packing, splitting, visual_forms
+from textloom.llm import distinctiveness, encoding, frequencies, markup, near_duplicates, packing, splitting, visual_forms
 from textloom.plans.session import table
 
 
@@ -39,6 +39,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(markup.fields(table(spark, d, "indexable_docs")).distinct())
+
+
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    return markup.equivalence_classes(markup.tokens(markup.fields(table(spark, d, "indexable_docs")).distinct()))
+
+
+def p3_slots(spark: SparkSession, d: str) -> DataFrame:
+    return markup.slots(markup.fields(table(spark, d, "indexable_docs")).distinct(), p3_templates(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.tokens(markup.fields(table(spark, d, "indexable_docs")))
+    return found.select("doc_id", "field", F.col("language").alias("kind")).distinct()
+
+
 def _similar(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
     return near_duplicates.near_duplicates(table(spark, d, "indexable_docs"), shingle=3, threshold=0.6, least_words=25)
 
