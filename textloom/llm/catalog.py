@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import distinctiveness, encoding, frequencies, markup, near_duplicates, packing, splitting, visual_forms
+from textloom.llm import abuse, distinctiveness, encoding, frequencies, markup, near_duplicates, packing, splitting, visual_forms
 from textloom.plans.session import table
 
 
@@ -99,6 +99,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).where("piece > 0").select("doc_id").distinct()
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.scores(documents, abuse.fit_counts(documents))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), p9_scores(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("score >= 0.5").select("doc_id").distinct()
+
+
 _POSTINGS = """
 p AS (SELECT term, doc_id, max(greatest(coalesce(tf, len(positions), 0), 0))::BIGINT AS tf FROM postings
       WHERE term IS NOT NULL AND doc_id IS NOT NULL GROUP BY term, doc_id),
