@@ -1,21 +1,709 @@
-"""Queries of the engine and the SQL that states the same results."""
+"""Queries of the engine over the test tables, and the SQL that states the same results.
+
+Words are searched in the unstemmed index where SQL states the result, as no SQL dialect has
+this stemmer; the stemmed paths are tested with fixed pairs and run here without SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.functions import analysis, codecs
+from textloom.functions.analysis import AnalyzerConfig
+from textloom.functions.words import STOP_WORDS
+from textloom.operators import index as tables, ranking, variants
+from textloom.operators.numbering import numbered
+from textloom.plans import search as plans
+from textloom.plans.language import Phrase
 from textloom.plans.session import table
+from textloom.sources import files, storage
+from textloom.streaming import log
+
+PLAIN = AnalyzerConfig(stemming=False)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct records of indexable_docs, one per id."""
+    t = table(spark, d, "indexable_docs").select("doc_id", "title", "body", "text", "category", "path")
+    return t.where("doc_id is not null").dropDuplicates(["doc_id"])
+
+
+def _index(spark: SparkSession, d: str, config: AnalyzerConfig = PLAIN, stored: bool = False) -> tables.Index:
+    docs = _documents(spark, d)
+    return tables.build_index(docs, config, text=F.col("text"), check=False, store_fields=stored).checkpointed()
+
+
+# SQL building blocks --------------------------------------------------------------------
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in sorted(STOP_WORDS)) + ")"
+_WORDS = r"""w0 AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f FROM documents WHERE doc_id IS NOT NULL),
+w1 AS (SELECT doc_id, unnest(regexp_extract_all(f, '[\p{L}\p{N}_]+')) AS term,
+  generate_subscripts(regexp_extract_all(f, '[\p{L}\p{N}_]+'), 1) AS at FROM w0)"""
+_TOKENS = rf"""{_WORDS},
+tok AS (SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1)::INT AS position
+  FROM w1 WHERE length(term) BETWEEN 1 AND 64 AND term NOT IN {_STOP})"""
+_TABLES = rf"""{_TOKENS},
+post AS (SELECT term, doc_id, count(*)::INT AS tf, list(position ORDER BY position) AS positions FROM tok GROUP BY term, doc_id),
+len AS (SELECT d.doc_id, coalesce(t.n, 0)::INT AS length FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) t USING (doc_id)),
+lex AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM post GROUP BY term),
+st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS a FROM len)"""
+
+
+def _bm25_sql(terms: str, k1: float = 1.2, b: float = 0.75) -> str:
+    """``s(doc_id, score)``: summed BM25 of ``terms``, a subquery (term, weight)."""
+    return f"""s AS (SELECT p.doc_id, sum(q.weight * ln((st.n - x.df + 0.5) / (x.df + 0.5) + 1) * (p.tf * ({k1} + 1)) /
+  (p.tf + {k1} * (1 - {b} + {b} * l.length / st.a))) AS score, list(p.term) AS found
+  FROM post p JOIN ({terms}) q USING (term) JOIN lex x USING (term) JOIN len l ON l.doc_id = p.doc_id, st GROUP BY p.doc_id)"""
+
+
+def _terms_sql(*terms: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{t}', 1)" for t in terms) + ") v(term, weight)"
+
+
+def _top_sql(where: str = "TRUE", limit: int = 20) -> str:
+    return f"SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 AND {where} ORDER BY round(score, 6) DESC, doc_id LIMIT {limit}"
+
+
+def _found(index: tables.Index, query, limit: int | None = 20, **options) -> DataFrame:
+    hits = plans.search_batch(index, {0: query}, limit=limit, digits=6, **options)
+    return hits.select("doc_id", "score")
+
+
+# Text analysis --------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, regexp_replace(body, '<[^>]*>', ' ', 'g') AS plain FROM (SELECT DISTINCT doc_id, body FROM indexable_docs) WHERE body IS NOT NULL")
+def strip_html_bodies(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "indexable_docs").select("doc_id", "body").distinct().where("body is not null")
+    return docs.select("doc_id", analysis.strip_html(F.col("body")).alias("plain"))
+
+
+_HTML_SQL = r"""WITH b AS (SELECT DISTINCT doc_id, title, body AS c FROM indexable_docs WHERE body IS NOT NULL),
+t AS (SELECT doc_id, title, c, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+ c, '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?i)<(h[1-6]|section)[^>]*>', E'\n\n### ', 'g'),
+ '(?i)<li[^>]*>', E'\n• ', 'g'), '(?i)<(p|div|article|tr|table|header|footer|blockquote)[^>]*>', E'\n', 'g'), '<[^>]+>', ' ', 'g'),
+ '[ \t\r\f\v]*\n[ \t\r\f\v]*', E'\n', 'g') AS x FROM b),
+u AS (SELECT *, regexp_replace(regexp_replace(x, '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS y FROM t)
+SELECT doc_id, CASE WHEN trim(regexp_extract(c, '(?is)<title[^>]*>([^<]+)</title>', 1)) <> '' THEN trim(regexp_extract(c, '(?is)<title[^>]*>([^<]+)</title>', 1)) ELSE title END AS title,
+ CASE WHEN y <> '' THEN y ELSE c END AS readable FROM u"""
+
+
+@_query(_HTML_SQL)
+def html_clean_bodies(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "indexable_docs").select("doc_id", "title", "body").distinct().where("body is not null")
+    return docs.select(
+        "doc_id", files.html_title(F.col("body"), F.col("title")).alias("title"), files.html_text(F.col("body")).alias("readable")
+    )
+
+
+@_query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
+def fold_text(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", analysis.filter_chars(F.col("text"), PLAIN).alias("folded"))
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id, term, position FROM tok")
+def tokenize_positions(spark: SparkSession, d: str) -> DataFrame:
+    listed = _documents(spark, d).where("doc_id is not null").select("doc_id", analysis.tokens(F.col("text"), PLAIN).alias("t"))
+    return listed.select("doc_id", F.posexplode("t").alias("position", "term")).select("doc_id", "term", "position")
+
+
+@_query(
+    r"""WITH w0 AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f FROM documents),
+g AS (SELECT doc_id, unnest(regexp_extract_all(f, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS run,
+  generate_subscripts(regexp_extract_all(f, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS k FROM w0),
+z AS (SELECT *, octet_length(encode(run)) AS bytes, length(run) + length(regexp_replace(run, '[^\x{10000}-\x{10ffff}]', '', 'g')) AS units FROM g),
+o AS (SELECT *, sum(units) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM z)
+SELECT doc_id, run AS term, (upto - units)::INT AS start_offset, upto::INT AS end_offset FROM o
+WHERE regexp_matches(run, '^[\p{L}\p{N}_]') AND units <= 64 AND run NOT IN """
+    + _STOP
+)
+def token_offsets(spark: SparkSession, d: str) -> DataFrame:
+    listed = _documents(spark, d).select("doc_id", F.explode(analysis.analyze(F.col("text"), PLAIN)).alias("t"))
+    return listed.select("doc_id", "t.term", "t.start_offset", "t.end_offset")
+
+
+def _counted(spark: SparkSession, d: str, config: AnalyzerConfig) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.size(analysis.tokens(F.col("text"), config)).alias("n"))
+
+
+def _counted_sql(where: str) -> str:
+    return f"""WITH {_WORDS}, t AS (SELECT doc_id, count(*)::INT AS n FROM w1 WHERE {where} GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0)::INT AS n FROM documents d LEFT JOIN t USING (doc_id)"""
+
+
+@_query(_counted_sql("length(term) BETWEEN 3 AND 8"))
+def token_length_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, AnalyzerConfig.of(stemming=False, stop_words=False, min_token_length=3, max_token_length=8))
+
+
+@_query(_counted_sql(f"length(term) <= 64 AND term NOT IN {_STOP}"))
+def stopword_filter_default(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, PLAIN)
+
+
+@_query(_counted_sql("length(term) <= 64 AND term NOT IN ('index', 'segment', 'the')"))
+def stopword_filter_custom(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, AnalyzerConfig.of(stemming=False, stop_words=["Index", "segment", "THE"]))
+
+
+@_query(_counted_sql("length(term) <= 64"))
+def stopword_filter_off(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, AnalyzerConfig.of(stemming=False, stop_words=False))
+
+
+@_query()
+def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    words = _documents(spark, d).select(F.explode(analysis.tokens(F.col("text"), PLAIN)).alias("word")).distinct()
+    return words.select("word", analysis.stem_word(F.col("word")).alias("stem"))
+
+
+@_query()
+def normalize_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "glossary").select("term_id", "term")
+    return terms.select("term_id", analysis.stem_word(F.lower(analysis.strip_diacritics(F.col("term")))).alias("form"))
+
+
+@_query()
+def analyze_by_options(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of each record under the options that it names; one branch per options row
+    (a fixed table of a few), all over one scan."""
+    options = {r["options_id"]: r for r in table(spark, d, "analyzer_options").collect()}
+    records = table(spark, d, "indexable_docs").select("doc_id", "title", "body", "text", "options_id").dropDuplicates(["doc_id"])
+    text = analysis.text_of([("title", "string"), ("body", "string"), ("text", "string")])
+    out = None
+    for i, o in options.items():
+        config = AnalyzerConfig(
+            o["lowercase"], o["strip_html"], o["strip_diacritics"], o["stop_words"] == "default", o["stemming"],
+            o["min_token_length"], o["max_token_length"] or 64,
+        )
+        part = records.where(F.col("options_id") == i).select("doc_id", "options_id", F.size(analysis.tokens(text, config)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query("SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), nullif(p_type, '')) AS content FROM part")
+def extract_text_title_body(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("body"))
+    return part.select("p_partkey", analysis.text_of(part.dtypes, "p_partkey").alias("content"))
+
+
+@_query("SELECT c_custkey, concat_ws(' ', c_name, c_mktsegment) AS content FROM customer")
+def extract_text_fallback(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer")
+    return customer.select("c_custkey", analysis.text_of(customer.dtypes, "c_custkey").alias("content"))
+
+
+@_query(
+    """SELECT DISTINCT doc_id, CASE WHEN text IS NOT NULL THEN text WHEN coalesce(title, '') <> '' OR coalesce(body, '') <> ''
+THEN concat_ws(' ', nullif(title, ''), nullif(body, '')) ELSE concat_ws(' ', title, body, text) END AS content FROM indexable_docs"""
+)
+def extract_text_records(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "indexable_docs").select("doc_id", "title", "body", "text").distinct()
+    return t.select("doc_id", analysis.text_of(t.dtypes, "doc_id").alias("content"))
+
+
+# Index build ----------------------------------------------------------------------------
+
+
+@_query(f"WITH {_TABLES} SELECT term, doc_id, tf, positions FROM post")
+def build_postings(spark: SparkSession, d: str) -> DataFrame:
+    index = tables.build_index(_documents(spark, d), PLAIN, text=F.col("text"), check=False)
+    return index.postings.select("term", "doc_id", "tf", "positions")
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex")
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    return tables.build_index(_documents(spark, d), PLAIN, text=F.col("text"), check=False).terms
+
+
+@_query(f"WITH {_TABLES} SELECT doc_id, length FROM len")
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return tables.build_index(_documents(spark, d), PLAIN, text=F.col("text"), check=False).docs.select("doc_id", "length")
+
+
+@_query(
+    f"""WITH {_TABLES} SELECT (SELECT count(*) FROM len)::BIGINT AS total_documents, (SELECT count(*) FROM lex)::BIGINT AS total_terms,
+(SELECT sum(length) FROM len)::BIGINT AS total_tokens, (SELECT round(avg(length), 6) FROM len) AS average_doc_length"""
+)
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    stats = _index(spark, d).stats()
+    return stats.withColumn("average_doc_length", F.round("average_doc_length", 6))
+
+
+@_query(
+    """WITH p AS (SELECT DISTINCT term, doc_id FROM postings WHERE term IS NOT NULL AND doc_id IS NOT NULL),
+r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS at, floor(sqrt(count(*) OVER (PARTITION BY term)))::INT AS step FROM p)
+SELECT a.term, a.at::INT AS posting_index, b.at::INT AS target_index, b.doc_id AS target_doc_id FROM r a JOIN r b ON a.term = b.term AND b.at = a.at + a.step
+WHERE a.step > 1 AND a.at % a.step = 0"""
+)
+def skip_pointers(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "postings").where("term is not null and doc_id is not null").select("term", "doc_id").distinct()
+    return tables.skip_pointers(p)
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex ORDER BY term LIMIT 200")
+def lexicon_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of the sorted lexicon."""
+    return tables.lexicon_sorted(_index(spark, d)).limit(200)
+
+
+@_query(
+    """WITH t AS (SELECT DISTINCT doc_id, term, position FROM tokens WHERE term IS NOT NULL AND doc_id IS NOT NULL AND position IS NOT NULL)
+SELECT term, doc_id, count(*)::INT AS tf, list(position ORDER BY position) AS positions FROM t GROUP BY term, doc_id"""
+)
+def postings_from_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of a token table whose rows may repeat or come late."""
+    t = table(spark, d, "tokens").select("doc_id", "term", "position").dropna().distinct()
+    grouped = t.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+
+
+@_query("SELECT doc_id, max(length)::INT AS length, max(segment_id)::INT AS segment_id FROM indexed_docs WHERE doc_id IS NOT NULL GROUP BY doc_id")
+def merged_documents(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "indexed_docs").where("doc_id is not null")
+    return t.groupBy("doc_id").agg(F.max("length").alias("length"), F.max("segment_id").alias("segment_id"))
+
+
+@_query("SELECT term, sum(df)::BIGINT AS df, sum(ttf)::BIGINT AS ttf, count(DISTINCT segment_id)::BIGINT AS segments FROM lexicon GROUP BY term")
+def merged_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lexicon")
+    return t.groupBy("term").agg(
+        F.sum("df").cast("long").alias("df"), F.sum("ttf").cast("long").alias("ttf"), F.count_distinct("segment_id").alias("segments")
+    )
+
+
+# Sets of documents and lexicon lookups --------------------------------------------------
+
+
+@_query(f"WITH {_TABLES} SELECT doc_id, tf, positions FROM post WHERE term = 'segment'")
+def term_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return tables.postings_of(_index(spark, d), "Segment").select("doc_id", "tf", "positions")
+
+
+@_query(f"WITH {_TABLES} SELECT a.doc_id FROM post a JOIN post b USING (doc_id) WHERE a.term = 'segment' AND b.term = 'index'")
+def bag_and(spark: SparkSession, d: str) -> DataFrame:
+    return plans.boolean_and(_index(spark, d), ["segment", "index"])
+
+
+@_query(f"WITH {_TABLES} SELECT DISTINCT doc_id FROM post WHERE term IN ('cipher', 'bitmap')")
+def bag_or(spark: SparkSession, d: str) -> DataFrame:
+    return plans.boolean_or(_index(spark, d), ["cipher", "bitmap", "notinthere"])
+
+
+@_query(f"WITH {_TABLES} SELECT doc_id FROM len WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'index')")
+def bool_not(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), "NOT index")
+
+
+_HAS = "doc_id IN (SELECT doc_id FROM post WHERE term = '{}')"
+
+
+@_query(
+    f"""WITH {_TABLES} SELECT doc_id FROM len WHERE ({_HAS.format("cipher")} OR {_HAS.format("index")}) AND {_HAS.format("segment")}
+AND NOT {_HAS.format("cache")}"""
+)
+def bool_complex(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), "(cipher OR index) AND segment NOT cache")
+
+
+@_query(f"WITH {_TABLES} SELECT a.doc_id FROM (SELECT doc_id FROM post WHERE term = 'cache') a JOIN (SELECT doc_id FROM post WHERE term = 'shard') b USING (doc_id)")
+def intersect_sets(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    docs = lambda t: index.postings.where(F.col("term") == t).select("doc_id")
+    return docs("cache").intersect(docs("shard"))
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex WHERE starts_with(term, 'compa')")
+def prefix_terms(spark: SparkSession, d: str) -> DataFrame:
+    return plans.prefix_terms(_index(spark, d), "Compa")
+
+
+@_query(f"WITH {_TABLES} SELECT DISTINCT doc_id FROM post WHERE starts_with(term, 'norma')")
+def prefix_search(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), "norma*")
+
+
+@_query(f"WITH {_TABLES} SELECT term, df FROM lex WHERE starts_with(term, 'co') ORDER BY df DESC, term LIMIT 5")
+def suggest(spark: SparkSession, d: str) -> DataFrame:
+    return plans.suggest(_index(spark, d), "CO")
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf, levenshtein(term, 'indxe')::INT AS distance FROM lex WHERE levenshtein(term, 'indxe') <= 2")
+def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
+    return plans.fuzzy_terms(_index(spark, d), "indxe", 2)
+
+
+@_query(f"WITH {_TABLES} SELECT DISTINCT doc_id FROM post WHERE levenshtein(term, 'ciphr') <= 1")
+def fuzzy_docs(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), "ciphr~1")
+
+
+@_query(
+    f"""WITH {_TABLES}, n AS (SELECT term, levenshtein(term, 'segmemt') AS e FROM lex WHERE levenshtein(term, 'segmemt') <= 2),
+c AS (SELECT term FROM n WHERE e = (SELECT min(e) FROM n) ORDER BY term LIMIT 3)
+SELECT DISTINCT doc_id FROM post JOIN c USING (term)"""
+)
+def auto_fuzzy_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), "segmemt")
+
+
+_PAIR = """SELECT a.doc_id, a.position FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.position {} WHERE a.term = 'posting' AND b.term = 'list'"""
+
+
+@_query(f"WITH {_TABLES} SELECT DISTINCT doc_id FROM ({_PAIR.format('= a.position + 1')})")
+def phrase_exact(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), '"posting list"')
+
+
+@_query(f"WITH {_TABLES} SELECT doc_id, list(position ORDER BY position) AS match_positions FROM ({_PAIR.format('= a.position + 1')}) GROUP BY doc_id")
+def phrase_positions(spark: SparkSession, d: str) -> DataFrame:
+    return plans.phrase_matches(_index(spark, d), "Posting list")
+
+
+@_query(
+    f"""WITH {_TABLES}, p AS (SELECT DISTINCT a.doc_id, a.position FROM tok a JOIN tok b ON a.doc_id = b.doc_id
+AND b.position BETWEEN a.position + 1 AND a.position + 4 WHERE a.term = 'cache' AND b.term = 'index')
+SELECT doc_id, list(position ORDER BY position) AS match_positions FROM p GROUP BY doc_id"""
+)
+def phrase_slop(spark: SparkSession, d: str) -> DataFrame:
+    return plans.phrase_matches(_index(spark, d), "cache index", slop=3)
+
+
+@_query(
+    f"""WITH {_TABLES}, a AS (SELECT doc_id, position FROM tok WHERE term = 'readers'),
+b AS (SELECT a.doc_id, a.position, min(t.position) AS p2 FROM a JOIN tok t ON t.doc_id = a.doc_id AND t.term = 'confuse' AND t.position BETWEEN a.position + 1 AND a.position + 6 GROUP BY ALL),
+c AS (SELECT b.doc_id, b.position, min(t.position) AS p3 FROM b JOIN tok t ON t.doc_id = b.doc_id AND t.term = 'differ' AND t.position BETWEEN b.p2 + 1 AND b.p2 + 6 GROUP BY b.doc_id, b.position, b.p2)
+SELECT DISTINCT doc_id FROM c"""
+)
+def phrase_slop_three(spark: SparkSession, d: str) -> DataFrame:
+    return plans.matching(_index(spark, d), Phrase(("readers", "confuse", "differ"), 5))
+
+
+# Ranked search --------------------------------------------------------------------------
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('segment'))} {_top_sql()}")
+def bm25_single(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "segment")
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('segment', 'index'))} {_top_sql('len(found) = 2')}")
+def bm25_and(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "segment AND index")
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('cipher', 'bitmap'))} {_top_sql()}")
+def bm25_or(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "cipher || bitmap")
+
+
+@_query(
+    f"""WITH {_TABLES}, {_bm25_sql(_terms_sql('posting', 'list'))}, ph AS (SELECT DISTINCT doc_id FROM ({_PAIR.format('= a.position + 1')}))
+{_top_sql('doc_id IN (SELECT doc_id FROM ph)')}"""
+)
+def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), '"posting list"')
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql('SELECT term, 1 AS weight FROM lex WHERE starts_with(term, $$compa$$)')} {_top_sql()}")
+def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "compa*")
+
+
+_COMPLEX = "(segment OR cache) AND index NOT cipher"
+
+
+@_query(
+    f"""WITH {_TABLES}, {_bm25_sql(_terms_sql('segment', 'cache', 'index'))}
+{_top_sql("list_contains(found, 'index') AND len(found) >= 2 AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'cipher')")}"""
+)
+def bm25_complex(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), _COMPLEX)
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('segment', 'index'), 2.0, 0.3)} {_top_sql()}")
+def bm25_params(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "segment OR index", k1=2.0, b=0.3)
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('segment'))} {_top_sql()} OFFSET 100000000")
+def pure_not_finds_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a scoring word are never returned, so NOT alone finds none."""
+    return _found(_index(spark, d), "NOT segment")
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql('SELECT term, 2 AS weight FROM lex WHERE term = $$segment$$')} {_top_sql()}")
+def duplicate_word_weight(spark: SparkSession, d: str) -> DataFrame:
+    """Two spellings that stand for one term score it twice."""
+    return _found(_index(spark, d), "segment OR Segment")
+
+
+@_query(
+    f"""WITH {_TABLES}, s AS (SELECT p.doc_id, sum(p.tf / l.length * ln(1 + st.n / x.df)) AS score FROM post p JOIN lex x USING (term)
+JOIN len l ON l.doc_id = p.doc_id, st WHERE p.term IN ('segment', 'index') GROUP BY p.doc_id) {_top_sql()}"""
+)
+def tfidf_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d), "segment OR index", scorer="tfidf")
+
+
+@_query(f"WITH {_TABLES}, {_bm25_sql(_terms_sql('cipher', 'bitmap', 'varint'))} {_top_sql(limit=10)}")
+def wand_topk_equiv(spark: SparkSession, d: str) -> DataFrame:
+    return plans.wand(_index(spark, d), ["cipher", "bitmap", "varint"], 10, digits=6).select("doc_id", "score")
+
+
+@_query()
+def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d, AnalyzerConfig(), stored=True)
+    return plans.search(index, 'segments AND "posting lists" OR compac*', limit=20, digits=6)
+
+
+@_query()
+def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
+    return plans.search(_index(spark, d, stored=True), "segment AND index", limit=20, digits=6).select("doc_id", "snippet")
+
+
+_BATCH = {"cache": "cache", "pair": "segment AND index", "any": "cipher OR bitmap"}
+
+
+@_query(
+    f"""WITH {_TABLES}, q AS (SELECT * FROM (VALUES ('cache', 'cache', 1), ('pair', 'segment', 2), ('pair', 'index', 2), ('any', 'cipher', 1), ('any', 'bitmap', 1)) v(qid, term, need)),
+s AS (SELECT q.qid, p.doc_id, sum(ln((st.n - x.df + 0.5) / (x.df + 0.5) + 1) * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * l.length / st.a))) AS score, count(*) AS k, min(q.need) AS need
+  FROM post p JOIN q USING (term) JOIN lex x USING (term) JOIN len l ON l.doc_id = p.doc_id, st GROUP BY q.qid, p.doc_id),
+r AS (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM s WHERE k >= need)
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10"""
+)
+def batch_search(spark: SparkSession, d: str) -> DataFrame:
+    return plans.search_batch(_index(spark, d), _BATCH, limit=10, digits=6).select("qid", "doc_id", "score", "rank")
+
+
+# Codecs, storage ------------------------------------------------------------------------
+
+
+@_query("SELECT DISTINCT term, doc_id, CASE WHEN list_sum(list_transform(positions, lambda p: p)) IS NULL THEN positions ELSE list_transform(list_zip(positions, list_prepend(0, positions[:-2])), lambda z: z[1] - z[2])::BIGINT[] END AS deltas FROM postings WHERE positions IS NOT NULL")
+def delta_encode(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "postings").where("positions is not null").select("term", "doc_id", "positions").distinct()
+    return p.select("term", "doc_id", codecs.encode_deltas(F.col("positions")).alias("deltas"))
+
+
+@_query("SELECT DISTINCT term, doc_id, positions::BIGINT[] AS positions FROM postings WHERE positions IS NOT NULL")
+def delta_decode(spark: SparkSession, d: str) -> DataFrame:
+    coded = delta_encode(spark, d)
+    return coded.select("term", "doc_id", codecs.decode_deltas(F.col("deltas")).alias("positions"))
+
+
+@_query(
+    """SELECT o_orderkey, (1 + (o_orderkey >= 128)::INT + (o_orderkey >= 16384)::INT + (o_orderkey >= 2097152)::INT + (o_orderkey >= 268435456)::INT)::INT AS size FROM orders"""
+)
+def varint_size(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", codecs.varint_size(F.col("o_orderkey")).alias("size"))
+
+
+@_query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02X%02X', o_orderkey % 128 + 128, o_orderkey // 128)
+ELSE printf('%02X%02X%02X', o_orderkey % 128 + 128, o_orderkey // 128 % 128 + 128, o_orderkey // 16384) END AS code FROM orders WHERE o_orderkey BETWEEN 0 AND 2097151"""
+)
+def varint_encode(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where("o_orderkey between 0 and 2097151")
+    return orders.select("o_orderkey", F.hex(codecs.encode_varint(F.col("o_orderkey"))).alias("code"))
+
+
+@_query("SELECT DISTINCT term, doc_id, positions::BIGINT[] AS positions FROM postings WHERE positions IS NOT NULL")
+def varint_decode(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "postings").where("positions is not null").select("term", "doc_id", "positions").distinct()
+    coded = p.select("term", "doc_id", codecs.encode_varints(F.col("positions")).alias("bytes"))
+    return coded.select("term", "doc_id", codecs.decode_varints(F.col("bytes")).alias("positions"))
+
+
+@_query()
+def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return storage.compression(_index(spark, d, stored=True))
+
+
+# The log, updates -----------------------------------------------------------------------
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "log_entries")
+    place = F.struct("ts", "sequence_number", F.coalesce(F.col("payload.text"), F.lit("")).alias("text"))
+    return t.select(F.col("sequence_number").alias("sequenceNumber"), F.col("entry_type").alias("type"), "payload", place.alias("place"))
+
+
+@_query(
+    """WITH e AS (SELECT payload.id AS doc_id, payload.text AS text, row_number() OVER (PARTITION BY payload.id ORDER BY ts, sequence_number, coalesce(payload.text, '')) AS k
+FROM log_entries WHERE entry_type = 'INSERT' AND payload IS NOT NULL AND payload.id IS NOT NULL) SELECT doc_id, text FROM e WHERE k = 1"""
+)
+def log_replay_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return log.replay(_entries(spark, d))
+
+
+@_query(
+    """SELECT DISTINCT payload.id AS doc_id FROM log_entries WHERE entry_type = 'INSERT' AND payload.id IS NOT NULL
+AND payload.id NOT IN (SELECT doc_id FROM indexable_docs WHERE category IS NOT NULL AND doc_id IS NOT NULL)"""
+)
+def log_recover(spark: SparkSession, d: str) -> DataFrame:
+    """What is to be added to an index that holds the records with a category."""
+    held = table(spark, d, "indexable_docs").where("category is not null").select("doc_id").distinct()
+    return log.replay(_entries(spark, d), held).select("doc_id")
+
+
+@_query(
+    f"""WITH {_TABLES}, old AS (SELECT p.term, count(*)::BIGINT AS df FROM post p JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY p.term),
+new AS (SELECT p.term, count(*)::BIGINT AS df FROM post p JOIN documents USING (doc_id) WHERE lang IS DISTINCT FROM 'en' GROUP BY p.term)
+SELECT term, (coalesce(old.df, 0) + coalesce(new.df, 0))::BIGINT AS df FROM old FULL JOIN new USING (term)"""
+)
+def incremental_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies after a second batch is appended to the first."""
+    docs = table(spark, d, "documents")
+    part = lambda c: tables.build_index(docs.where(c).select("doc_id", "text"), PLAIN, text=F.col("text"), check=False).postings
+    both = part(F.col("lang") == "en").unionByName(part(~F.col("lang").eqNullSafe("en")))
+    return tables.term_stats(both).select("term", "df")
+
+
+@_query(
+    """SELECT doc_id, 'changed' AS text FROM labels WHERE quality = 1 AND doc_id IS NOT NULL UNION ALL
+SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IN (1, 5) AND doc_id IS NOT NULL)"""
+)
+def upsert_delete(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").where("doc_id is not null")
+    changed = labels.where("quality = 1").select("doc_id", F.lit("changed").alias("text"))
+    kept = tables.delete(_documents(spark, d), labels.where("quality = 5").select("doc_id"))
+    return tables.upsert(kept, changed)
+
+
+@_query("SELECT doc_id, row_number() OVER (ORDER BY path, doc_id)::BIGINT AS number FROM documents WHERE path IS NOT NULL")
+def number_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("path is not null").select("doc_id", "path")
+    return numbered(docs, ["path", "doc_id"]).select("doc_id", "number")
+
+
+@_query("SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_payload(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# Other search and display modes ---------------------------------------------------------
+
+_BAG = f"""WITH {_TABLES}, b AS (SELECT p.doc_id, count(*)::BIGINT AS matched, sum(ln((st.n - x.df + 0.5) / (x.df + 0.5) + 1) * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * l.length / st.a))) AS raw
+FROM post p JOIN lex x USING (term) JOIN len l ON l.doc_id = p.doc_id, st WHERE p.term IN ('segment', 'index', 'cache') {{}} GROUP BY p.doc_id)"""
+
+
+@_query(
+    _BAG.replace("{}", "")
+    + " SELECT doc_id, matched, round(CASE WHEN matched = 3 THEN raw * 1.35 ELSE raw END, 2) AS score FROM b WHERE matched >= 2 ORDER BY score DESC, doc_id LIMIT 15"
+)
+def min_should_match_boost(spark: SparkSession, d: str) -> DataFrame:
+    return variants.bag_search(_index(spark, d), "segment index cache").select("doc_id", "matched", "score")
+
+
+@_query(
+    _BAG.replace("{}", "AND p.doc_id IN (SELECT doc_id FROM documents WHERE source LIKE 'forum%')")
+    + " SELECT doc_id, matched, round(raw, 2) AS score FROM b ORDER BY score DESC, doc_id LIMIT 15"
+)
+def corpus_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    index = tables.build_index(docs, PLAIN, text=F.col("text"), check=False).checkpointed()
+    return variants.bag_search(index, "segment OR index OR cache", where=F.col("source").startswith("forum")).select("doc_id", "matched", "score")
+
+
+@_query()
+def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return variants.bag_search(_index(spark, d), "segment index cache")
+
+
+@_query()
+def sentence_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return variants.sentence_snippets(_documents(spark, d), "cipher bitmap", body="text", config=PLAIN)
+
+
+@_query()
+def window_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return variants.window_snippets(_documents(spark, d), "cipher bitmap", body="text", config=PLAIN)
+
+
+@_query()
+def highlight_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", variants.highlight_stems(F.col("text"), ["segment", "indic"]).alias("marked"))
+
+
+@_query()
+def section_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return variants.section_excerpts(_records(spark, d), "segment index")
+
+
+@_query()
+def note_split(spark: SparkSession, d: str) -> DataFrame:
+    return variants.split_notes(_records(spark, d))
+
+
+@_query()
+def query_explain(spark: SparkSession, d: str) -> DataFrame:
+    return variants.explain_table(table(spark, d, "glossary").select("term_id", "term"), "term")
+
+
+@_query("SELECT DISTINCT doc_id FROM indexable_docs WHERE contains(lower(title), 'handbook') OR contains(lower(path), 'handbook')")
+def document_list_filter(spark: SparkSession, d: str) -> DataFrame:
+    return variants.filter_documents(_records(spark, d), "HANDBOOK").select("doc_id")
+
+
+@_query(f"WITH {_TABLES} SELECT (SELECT count(*) FROM lex)::BIGINT AS terms, (SELECT sum(length(term)) FROM lex)::BIGINT AS characters, (SELECT count(*) FROM post)::BIGINT AS postings, (SELECT sum(tf) FROM post)::BIGINT AS positions")
+def index_footprint(spark: SparkSession, d: str) -> DataFrame:
+    return variants.footprint(_index(spark, d))
+
+
+@_query(
+    r"""SELECT doc_id, length(coalesce(text, ''))::INT AS characters, len(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda w: w <> ''))::INT AS words,
+CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, E'\n')) END::INT AS lines FROM documents"""
+)
+def text_counts(spark: SparkSession, d: str) -> DataFrame:
+    return variants.text_counts(_documents(spark, d))
+
+
+@_query("SELECT count(*)::BIGINT AS documents, count_if(text IS NULL)::BIGINT AS empty, count_if(lang = 'en')::BIGINT AS english FROM documents")
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    return t.agg(F.count("*").alias("documents"), F.count_if(F.col("text").isNull()).alias("empty"), F.count_if(F.col("lang") == "en").alias("english"))
+
+
+@_query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS body FROM events WHERE props IS NOT NULL")
+def json_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("props is not null").select("event_id", variants.flatten_json(F.col("props")).alias("body"))
+
+
+@_query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, min(value) AS min, max(value) AS max, max(value) FILTER (k = floor(n * 0.5)) AS median, max(value) FILTER (k = floor(n * 0.95)) AS p95, max(value) FILTER (k = floor(n * 0.99)) AS p99
+FROM r GROUP BY event_type"""
+)
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return variants.nearest_rank(table(spark, d, "events"), "value", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").limit(1)
+    return bm25_complex(spark, d)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
