@@ -55,11 +55,13 @@ def _index(spark: SparkSession, d: str, config: AnalyzerConfig = PLAIN, stored:
 # SQL building blocks --------------------------------------------------------------------
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in sorted(STOP_WORDS)) + ")"
-_WORDS = r"""w0 AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f FROM documents WHERE doc_id IS NOT NULL),
-w1 AS (SELECT doc_id, unnest(regexp_extract_all(f, '[\p{L}\p{N}_]+')) AS term,
-  generate_subscripts(regexp_extract_all(f, '[\p{L}\p{N}_]+'), 1) AS at FROM w0)"""
+#: Compatibility forms in the texts that ``strip_accents`` leaves: the lunate sigma and two spaces.
+_FOLD = "lower(strip_accents(translate(text, 'ϲ' || chr(160) || chr(8195), 'ς  ')))"
+_WORDS = rf"""w0 AS (SELECT doc_id, coalesce({_FOLD}, '') AS f FROM documents WHERE doc_id IS NOT NULL),
+w1 AS (SELECT doc_id, unnest(regexp_extract_all(f, '[\p{{L}}\p{{N}}_]+')) AS term,
+  generate_subscripts(regexp_extract_all(f, '[\p{{L}}\p{{N}}_]+'), 1) AS k FROM w0)"""
 _TOKENS = rf"""{_WORDS},
-tok AS (SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1)::INT AS position
+tok AS (SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS position
   FROM w1 WHERE length(term) BETWEEN 1 AND 64 AND term NOT IN {_STOP})"""
 _TABLES = rf"""{_TOKENS},
 post AS (SELECT term, doc_id, count(*)::INT AS tf, list(position ORDER BY position) AS positions FROM tok GROUP BY term, doc_id),
@@ -115,7 +117,7 @@ def html_clean_bodies(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
+@_query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
 def fold_text(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", analysis.filter_chars(F.col("text"), PLAIN).alias("folded"))
 
@@ -127,7 +129,7 @@ def tokenize_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH w0 AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f FROM documents),
+    "WITH w0 AS (SELECT doc_id, coalesce(" + _FOLD + r""", '') AS f FROM documents),
 g AS (SELECT doc_id, unnest(regexp_extract_all(f, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS run,
   generate_subscripts(regexp_extract_all(f, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS k FROM w0),
 z AS (SELECT *, octet_length(encode(run)) AS bytes, length(run) + length(regexp_replace(run, '[^\x{10000}-\x{10ffff}]', '', 'g')) AS units FROM g),
@@ -381,11 +383,11 @@ def phrase_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     f"""WITH {_TABLES}, p AS (SELECT DISTINCT a.doc_id, a.position FROM tok a JOIN tok b ON a.doc_id = b.doc_id
-AND b.position BETWEEN a.position + 1 AND a.position + 4 WHERE a.term = 'cache' AND b.term = 'index')
+AND b.position BETWEEN a.position + 1 AND a.position + 4 WHERE a.term = 'readers' AND b.term = 'confuse')
 SELECT doc_id, list(position ORDER BY position) AS match_positions FROM p GROUP BY doc_id"""
 )
 def phrase_slop(spark: SparkSession, d: str) -> DataFrame:
-    return plans.phrase_matches(_index(spark, d), "cache index", slop=3)
+    return plans.phrase_matches(_index(spark, d), "readers confuse", slop=3)
 
 
 @_query(
@@ -670,7 +672,7 @@ def index_footprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    r"""SELECT doc_id, length(coalesce(text, ''))::INT AS characters, len(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda w: w <> ''))::INT AS words,
+    r"""SELECT doc_id, length(coalesce(text, ''))::INT AS characters, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+'))::INT AS words,
 CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, E'\n')) END::INT AS lines FROM documents"""
 )
 def text_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -233,7 +233,7 @@ def footprint(index: Index) -> DataFrame:
 def text_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, characters, words, lines`` of each text; a null one has none."""
     c = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: F.length(w) > 0))
+    words = F.size(F.regexp_extract_all(c, F.lit(r"([^ \t\n\r\f\x0b]+)"), F.lit(1)))
     return docs.select(key, F.length(c).alias("characters"), words.alias("words"), F.when(c == "", 0).otherwise(F.size(F.split(c, "\n"))).alias("lines"))
 
 
