@@ -179,8 +179,8 @@ def _replaced(language: str, kind: str, sign: str) -> str:
     return "\n" if _BLOCK.match(tag) else ""
 
 
-_BULLET = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=\S)", re.M)
-_WIKI_BULLET = re.compile(r"^[*#:;]+[ \t]*(?=\S)", re.M)
+_BULLET = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=\S|\Z)", re.M)
+_WIKI_BULLET = re.compile(r"^[*#:;]+[ \t]*(?=\S|\Z)", re.M)
 
 
 def clean(text: str) -> str:
@@ -188,17 +188,17 @@ def clean(text: str) -> str:
     list items begin with a bullet, code is indented by four spaces, formulas stay as they are
     written, without delimiters; texts without a sign come back unchanged. Escaped markup
     that becomes visible when entities are read is cleaned as well."""
-    seen: set[str] = set()
+    found = list(signs(text))
+    if not found:
+        return text
+    seen = {language for language, *_ in found}
     out: list[str] = []
     at, escaped = 0, False
-    for language, kind, start, end in signs(text):
-        out += [_text(text[at:start], seen), _replaced(language, kind, text[start:end])]
-        seen.add(language)
+    for language, kind, start, end in found:
+        out += [_text(text, at, start, seen), _replaced(language, kind, text[start:end])]
         escaped |= kind == "entity" and out[-1] == "<"
         at = end
-    if not seen:
-        return text
-    raw = "".join([*out, _text(text[at:], seen)])
+    raw = "".join([*out, _text(text, at, len(text), seen)])
     while "\x02" in raw:  # braces of nested style commands, innermost first
         k = raw.rindex("\x02")
         close = raw.find("}", k)
@@ -212,8 +212,13 @@ def clean(text: str) -> str:
 _ESCAPED = re.compile(_TAG, re.I)
 
 
-def _text(stretch: str, seen: set[str]) -> str:
+def _text(text: str, start: int, end: int, seen: set[str]) -> str:
     """Text between signs: bullets of the languages seen, quotation marks, cells, headers."""
+    stretch = text[start:end]
+    if not stretch:
+        return stretch
+    if start and text[start - 1] != "\n":  # its beginning isn't the beginning of a line
+        return _text("\x03" + stretch, 0, len(stretch) + 1, seen).replace("\x03", "", 1)
     if "markdown" in seen or "wiki" in seen:
         if "wiki" in seen:
             stretch = re.sub(r"^[|!](?![-}|+])[ \t]*", "", stretch, flags=re.M)
