@@ -17,7 +17,7 @@ from textloom.operators import index as tables, ranking, variants
 from textloom.operators.numbering import numbered
 from textloom.plans import search as plans
 from textloom.plans.language import Phrase
-from textloom.plans.session import table
+from textloom.plans.session import spread, table
 from textloom.sources import files, storage
 from textloom.streaming import log
 
@@ -38,7 +38,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:

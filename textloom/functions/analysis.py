@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import lru_cache
@@ -60,28 +58,31 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]*>", " ")
 
 
+#: Stretches of characters that the fast path of folding covers.
+SAFE_RANGES = 24
+
+
 @lru_cache(maxsize=1)
 def _fold_map() -> tuple[str, str, str]:
-    """Characters that fold to one character, what they fold to, and a pattern of those that
-    fold to none or several; all in the basic plane."""
+    """Characters of the basic plane that fold to one character, what they fold to, and a
+    pattern that holds at least for all characters that fold to none or several."""
     one, to, many = [], [], []
     for cp in range(0x80, 0x10000):
         c = chr(cp)
-        if 0xD800 <= cp < 0xE000 or (f := strip_marks(c)) == c:
-            continue
-        if len(f) == 1:
-            one.append(c)
-            to.append(f)
-        elif not 0x300 <= cp <= 0x36F:
+        if 0xD800 <= cp < 0xE000:
             many.append(cp)
-    runs: list[list[int]] = []
-    for cp in many:
-        if runs and runs[-1][1] == cp - 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    pattern = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
-    return "".join(one), "".join(to), f"[{pattern}\\x{{10000}}-\\x{{{sys.maxunicode:x}}}]"
+        elif (f := strip_marks(c)) != c:
+            if len(f) == 1:
+                one.append(c)
+                to.append(f)
+            elif not 0x300 <= cp <= 0x36F:
+                many.append(cp)
+    # the longest stretches without such characters; a class of few ranges is matched fast,
+    # and what lies between them may take the slow path without need but never wrongly
+    edges = [-1, *many, 0x10000]
+    gaps = sorted(((b - a - 1, a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False)), reverse=True)[:SAFE_RANGES]
+    safe = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for _, a, b in sorted(gaps, key=lambda g: g[1]) if a <= b)
+    return "".join(one), "".join(to), f"[^{safe}]"
 
 
 @F.pandas_udf(T.StringType())

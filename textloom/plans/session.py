@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables up to this size are spread over all cores if they lie in fewer files.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is a small scan of fewer files than cores, as its few
+    splits would else do all the work. Larger inputs have splits enough and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, which all executors
     share, so that later jobs neither recompute it nor depend on one executor's disk.
