@@ -39,7 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if it is a small scan of fewer files than cores, as its few
     splits would else do all the work. Larger inputs have splits enough and aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
