@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import abuse, distinctiveness, encoding, frequencies, markup, near_duplicates, packing, splitting, visual_forms
-from textloom.plans.session import table
+from textloom.plans.session import spread, table
+
+
+def _rows(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, name).select(*columns))
+
+
+_RECORD = ("doc_id", "title", "body", "text", "category", "path", "options_id")
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.pieces(table(spark, d, "indexable_docs"), table(spark, d, "analyzer_options"))
+    return splitting.pieces(_rows(spark, d, "indexable_docs", *_RECORD), table(spark, d, "analyzer_options"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +37,8 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     glossary = table(spark, d, "glossary")
-    tokens = visual_forms.disguised(table(spark, d, "tokens"), glossary, ["doc_id", "position"], "term", True)
-    bodies = visual_forms.disguised(table(spark, d, "indexable_docs"), glossary, ["doc_id"], "body", False)
+    tokens = visual_forms.disguised(_rows(spark, d, "tokens", "doc_id", "position", "term"), glossary, ["doc_id", "position"], "term", True)
+    bodies = visual_forms.disguised(_rows(spark, d, "indexable_docs", "doc_id", "body"), glossary, ["doc_id"], "body", False)
     return (
         tokens.select(F.lit("token").alias("src"), "doc_id", "position", "term_id")
         .unionByName(bodies.select(F.lit("body").alias("src"), "doc_id", F.lit(-1).alias("position"), "term_id"))
@@ -40,24 +47,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.cleaned(markup.fields(table(spark, d, "indexable_docs")).distinct())
+    return markup.cleaned(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct())
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    return markup.equivalence_classes(markup.tokens(markup.fields(table(spark, d, "indexable_docs")).distinct()))
+    return markup.equivalence_classes(markup.tokens(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct()))
 
 
 def p3_slots(spark: SparkSession, d: str) -> DataFrame:
-    return markup.slots(markup.fields(table(spark, d, "indexable_docs")).distinct(), p3_templates(spark, d))
+    return markup.slots(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct(), p3_templates(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.tokens(markup.fields(table(spark, d, "indexable_docs")))
+    found = markup.tokens(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)))
     return found.select("doc_id", "field", F.col("language").alias("kind")).distinct()
 
 
 def _similar(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
-    return near_duplicates.near_duplicates(table(spark, d, "indexable_docs"), shingle=3, threshold=0.6, least_words=25)
+    return near_duplicates.near_duplicates(_rows(spark, d, "indexable_docs", "doc_id", "title", "body"), shingle=3, threshold=0.6, least_words=25)
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +95,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode(table(spark, d, "documents"))
+    return encoding.encode(_rows(spark, d, "documents", "doc_id", "text"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(encoding.token_counts(table(spark, d, "documents")))
+    return packing.pack(encoding.token_counts(_rows(spark, d, "documents", "doc_id", "text")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +107,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _rows(spark, d, "documents", "doc_id", "text")
     return abuse.scores(documents, abuse.fit_counts(documents))
 
 
