@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,8 @@ class Index:
     k1: float = 1.2
     b: float = 0.75
     lexicon: DataFrame | None = None
+    #: Whether the tables are read from files rather than worked out anew by every job.
+    written: bool = False
 
     @property
     def terms(self) -> DataFrame:
@@ -70,7 +72,7 @@ class Index:
     def checkpointed(self) -> Index:
         """The same index with its tables written once to the shared checkpoint folder."""
         postings = cut(self.postings)
-        return Index(cut(self.docs), postings, self.config, self.k1, self.b, cut(term_stats(postings)))
+        return Index(cut(self.docs), postings, self.config, self.k1, self.b, cut(term_stats(postings)), True)
 
 
 class DuplicateIds(ValueError):
@@ -93,7 +95,7 @@ def build_index(
     """Index the rows of ``df``; the text follows ``text_of`` unless given.
 
     One pass without a shuffle per table: filters, tokens, bounds and stop words run in the
-    JVM, stems and the inversion in Arrow functions. Documents without tokens stay in ``docs``
+    JVM, which is all that ``docs`` needs; stems and the inversion run in Arrow functions. Documents without tokens stay in ``docs``
     with length 0. Rows with a null id are left out; ids that repeat raise DuplicateIds.
     """
     config = config or AnalyzerConfig()
@@ -103,7 +105,8 @@ def build_index(
     source = text if text is not None else text_of([(n, t) for n, t in df.dtypes if n != key], key)
     listed = df.withColumn("_tokens", tokens(source, config))
     fields = [F.col(f"`{c}`") for c in df.columns if c not in (key, "length")] if store_fields else []
-    docs = listed.select(F.col(key).cast("long").alias("doc_id"), F.size("_tokens").alias("length"), *fields)
+    kept = F.size(tokens(source, replace(config, stemming=False)))  # a stem for each word
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), kept.alias("length"), *fields)
     pairs = listed.select(F.col(key).cast("long").alias("doc_id"), "_tokens")
     return Index(docs, pairs.mapInArrow(_invert, POSTINGS), config, k1, b)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.operators.index import Index, corpus_stats, term_stats
+from textloom.plans.session import cut
 
 VERSION = 1
 SUFFIX = ".textloom"
@@ -39,7 +40,9 @@ def save(index: Index, path: str) -> str:
     run = uuid.uuid4().hex
     base = f"{path}/{run}"
     index.docs.write.parquet(f"{base}/docs")
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
+    # range partitioning reads its input twice, so the texts shouldn't be analysed for each
+    postings = index.postings if index.written else cut(index.postings)
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
     stored = spark.read.parquet(f"{base}/postings")
     term_stats(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
     corpus_stats(spark.read.parquet(f"{base}/docs"), spark.read.parquet(f"{base}/terms")).write.parquet(f"{base}/stats")
@@ -64,7 +67,7 @@ def load(spark: SparkSession, path: str) -> Index:
     h = header(spark, path)
     base = f"{path}/{h['data']}"
     read = lambda name: spark.read.parquet(f"{base}/{name}")
-    return Index(read("docs"), read("postings"), AnalyzerConfig.from_dict(h["analyzer"]), h["k1"], h["b"], read("terms"))
+    return Index(read("docs"), read("postings"), AnalyzerConfig.from_dict(h["analyzer"]), h["k1"], h["b"], read("terms"), True)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
