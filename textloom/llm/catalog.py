@@ -138,6 +138,12 @@ r AS (SELECT doc_id, w, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+|[^\p{L}\
 q AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) - length(run) AS before FROM r)
 SELECT doc_id, 'body' AS kind, 0 AS start_offset FROM b WHERE length(body) > c
 UNION SELECT doc_id, 'token', before::INT FROM q WHERE length(run) > w AND regexp_matches(run, '^[\p{L}\p{N}_]')""",
+    "p4_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body), '[\p{L}\p{N}_]+') AS w
+  FROM indexable_docs WHERE body IS NOT NULL AND len(regexp_extract_all(body, '[\p{L}\p{N}_]+')) >= 25),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k / (x.n + y.n - k) >= 0.6""",
     "p5_scores": f"""WITH {_POSTINGS},
 c AS (SELECT sum(pow(length::DOUBLE, 0.75)) AS c FROM l WHERE length > 0)
 SELECT p.doc_id, p.term, p.tf, l.length, t.df,
