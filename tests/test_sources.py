@@ -109,3 +109,19 @@ def test_watch(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("x")
     log.watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda: calls.append(1)).awaitTermination()
     assert calls == [1]
+
+
+def test_running_sums_and_previous(spark):
+    from textloom.operators.numbering import ranked, running_sum, with_previous
+
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', if(id % 50 = 1, null, concat('k', id % 7))) as k", "id * 37 % 2000 as v").repartition(5)
+    rows = running_sum(df, ["k"], ["v"], F.col("v"), "s").collect()
+    expected: dict = {}
+    for r in sorted(rows, key=lambda r: r.v):
+        expected[r.k] = expected.get(r.k, 0) + r.v
+        assert r.s == expected[r.k]
+    assert len(rows) == 2000
+    assert sorted(r.rank for r in ranked(df, ["k"], ["v"]).where("k = 'hot'").collect()) == list(range(667))
+    pairs = {(r.k, r.v): r.previous for r in with_previous(df, ["k"], "v").collect()}
+    hot = sorted(v for k, v in pairs if k == "hot")
+    assert [pairs["hot", v] for v in hot] == [None, *hot[:-1]]

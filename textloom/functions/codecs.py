@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from textloom.operators.numbering import running_sum, with_previous
 
 _UINT32 = 0xFFFFFFFF
 
@@ -86,20 +88,18 @@ def decode_deltas(deltas: Column) -> Column:
 
 def encode_deltas_rows(df: DataFrame, key: str, value: str) -> DataFrame:
     """Row form for long lists: ``delta`` of each value from the one before it of its key."""
-    by_value = Window.partitionBy(key).orderBy(value)
-    return df.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(by_value), F.lit(0)))
+    paired = with_previous(df, [key], value, "_previous")
+    return paired.withColumn("delta", F.col(value) - F.coalesce("_previous", F.lit(0))).drop("_previous")
 
 
 def decode_deltas_rows(df: DataFrame, key: str, order: str, delta: str = "delta") -> DataFrame:
-    running = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("value", F.sum(delta).over(running))
+    return running_sum(df, [key], [order], F.col(delta), "value")
 
 
 def encoded_postings(postings: DataFrame) -> DataFrame:
     """``term, data_bytes``: bytes that each term's documents (as differences), frequencies and
     positions (as differences) take as varints."""
-    by_doc = Window.partitionBy("term").orderBy("doc_id")
-    gaps = postings.withColumn("gap", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(by_doc), F.lit(0)))
+    gaps = encode_deltas_rows(postings.select("term", "doc_id", "tf", "positions"), "term", "doc_id").withColumnRenamed("delta", "gap")
     steps = F.transform("positions", lambda x, k: x - F.when(k > 0, F.element_at("positions", F.greatest(k, F.lit(1)))).otherwise(0))
     size = F.aggregate(F.transform(steps, varint_size), F.lit(0), lambda a, x: a + x)
     return gaps.groupBy("term").agg(F.sum(varint_size(F.col("gap")) + varint_size(F.col("tf")) + size).cast("long").alias("data_bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Occurrences that are looked at.
 MOST_HITS = 25
@@ -51,13 +51,11 @@ def make_snippet(text: str | None, strings: list[str], size: int = 150) -> str |
     return highlight(("..." if start else "") + shown + ("..." if end < len(text) else ""), words)
 
 
-def snippet(text: Column, strings: list[str] | None, matched: Column, size: int = 150) -> Column:
+def snippet(text: Column, strings: list[str], matched: Column, size: int = 150) -> Column:
     """Column form; the scoring strings of the query, then those that only the row matched."""
-    known = strings or []
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
         rows = zip(texts, found, strict=True)
-        return pd.Series([make_snippet(t, list(dict.fromkeys([*known, *(m if m is not None else [])])), size) for t, m in rows])
+        return pd.Series([make_snippet(t, list(dict.fromkeys([*strings, *(m if m is not None else [])])), size) for t, m in rows])
 
     return run(text, matched)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig, text_of, tokens
+from textloom.operators.numbering import ranked
 from textloom.plans.session import cut
 
 POSTINGS = "term string, doc_id long, tf int, positions array<int>, length int"
@@ -128,13 +129,14 @@ def corpus_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def skip_pointers(postings: DataFrame) -> DataFrame:
     """``term, posting_index, target_index, target_doc_id``: in lists of more than three
     postings, every floor(sqrt(n))-th posting points as many places on."""
-    by_doc = Window.partitionBy("term").orderBy("doc_id")
     counts = postings.groupBy("term").agg(F.floor(F.sqrt(F.count("*"))).cast("int").alias("step")).where("step > 1")
     placed = (
-        postings.join(counts, "term")
-        .select("term", "doc_id", "step", (F.row_number().over(by_doc) - 1).alias("at"))
+        ranked(postings.select("term", "doc_id"), ["term"], ["doc_id"], "at")
+        .join(counts, "term")
+        .select("term", "doc_id", F.col("at").cast("int").alias("at"), "step")
         .where(F.col("at") % F.col("step") == 0)
     )
+    # of n postings only about sqrt(n) are left
     following = Window.partitionBy("term").orderBy("at")
     return (
         placed.select(

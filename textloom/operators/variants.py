@@ -8,6 +8,7 @@ from textloom.functions.analysis import AnalyzerConfig, normalize_term, stem_all
 from textloom.functions.words import STOP_WORDS
 from textloom.operators import ranking
 from textloom.operators.index import Index
+from textloom.operators.numbering import ranked
 
 #: Words of the bag modes: letters and digits, no underscore.
 WORD = r"[\p{L}\p{N}]+"
@@ -251,13 +252,15 @@ def markdown_title(body: Column, otherwise: Column) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Percentiles by nearest rank (the value at ``floor(n * q)`` from 0), and least and most.
-    Equal values are counted first, so only distinct values are ranked."""
+    """Percentiles by nearest rank (the value at ``floor(n * q)`` from 0), and least and most,
+    of each group, or of all rows. Nulls don't count."""
     by = by or []
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counted.withColumn("_upto", F.sum("count").over(order)).withColumn("_n", F.sum("count").over(whole))
-    at = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
-    picks = [F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), *picks)
+    whole = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_all"), *by).alias("_key"), value)
+    placed = ranked(whole, ["_key"], [value], "_at")
+    ends = placed.groupBy("_key").agg(F.count("*").alias("_n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    ends = ends.select(F.col("_key").alias("_of"), "_n", "min", "max")
+    both = placed.join(ends, F.col("_key").eqNullSafe(F.col("_of")))
+    at = {name: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) for name, q in quantiles.items()}
+    picks = [F.max(F.when(F.col("_at") == k, F.col(value))).alias(name) for name, k in at.items()]
+    out = both.groupBy("_key").agg(F.first("min").alias("min"), F.first("max").alias("max"), *picks)
+    return out.select(*(F.col("_key")[b].alias(b) for b in by), "min", "max", *quantiles)

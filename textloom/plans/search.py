@@ -257,7 +257,7 @@ def _matches(plan: Plan, met: Column, places: Column) -> Column:
 
 def search_batch(
     index: Index, queries: dict[object, str | Node], *, limit: int | None = 10, fuzzy: bool | int = True, scorer: str = "bm25",
-    k1: float | None = None, b: float | None = None, digits: int | None = None,
+    k1: float | None = None, b: float | None = None, digits: int | None = None, resolved: dict[object, Plan] | None = None,
 ) -> DataFrame:
     """Run many queries in one job: ``qid, doc_id, score, matched_terms, rank``.
 
@@ -266,9 +266,9 @@ def search_batch(
     Every returned document has a positive score, so it has a posting of a scoring term; that
     is why one aggregation is enough even with NOT, and why a query of NOT alone finds nothing.
     Ties go to the smaller id; ``digits`` rounds scores before ranking; ``limit`` None keeps all.
+    ``resolved`` are plans of the same queries made before.
     """
-    trees = {q: parse(t) if isinstance(t, str) else t for q, t in queries.items()}
-    plans = resolve(index, trees, fuzzy)
+    plans = resolved or resolve(index, {q: parse(t) if isinstance(t, str) else t for q, t in queries.items()}, fuzzy)
     total = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg")).first()
     n, average = F.lit(total["n"]).cast("double"), F.lit(float(total["avg"]))
     rows = _term_rows(index, plans)
@@ -322,7 +322,9 @@ def search(
     """``doc_id, score, matched_terms`` of the best matches, with a highlighted ``snippet``
     where the index has stored fields; ``fields`` adds these. Only the best rows are joined
     with the documents."""
-    hits = search_batch(index, {0: query}, limit=limit, fuzzy=fuzzy, **scoring).drop("qid")
+    tree = parse(query) if isinstance(query, str) else query
+    resolved = resolve(index, {0: tree}, fuzzy)
+    hits = search_batch(index, {0: tree}, limit=limit, resolved=resolved, **scoring).drop("qid")
     stored = [c for c in index.docs.columns if c not in ("doc_id", "length")]
     source = [c for c in ("body", "text", "content", "title") if c in stored and dict(index.docs.dtypes)[c] == "string"]
     if not (highlight and source or fields):
@@ -331,18 +333,15 @@ def search(
     out = hits.join(index.docs.select("doc_id", *(F.col(c).alias(f"_f_{c}") for c in wanted)), "doc_id")
     if highlight and source:
         text = F.coalesce(*(F.when(F.length(f"_f_{c}") > 0, F.col(f"_f_{c}")) for c in source))
-        strings = [w for w in resolve_strings(index, query, fuzzy)]
-        out = out.withColumn("snippet", snippet(text, strings if strings else None, F.col("matched_terms"), snippet_length))
+        out = out.withColumn("snippet", snippet(text, scoring_strings(resolved[0]), F.col("matched_terms"), snippet_length))
     keep = [F.col(f"_f_{c}").alias(c) for c in stored if fields]
     shown = [F.col("snippet")] if highlight and source else []
     result = out.select("doc_id", "score", "matched_terms", *shown, *keep)
     return ranking.top(result, limit) if limit is not None else result
 
 
-def resolve_strings(index: Index, query: str | Node, fuzzy: bool | int = True) -> list[str]:
+def scoring_strings(plan: Plan) -> list[str]:
     """Scoring strings of a query that are known before the lexicon's expansions."""
-    tree = parse(query) if isinstance(query, str) else query
-    plan = resolve(index, {0: tree}, fuzzy)[0]
     out: dict[str, None] = {}
     for leaf in plan.leaves:
         if not leaf.scores:
