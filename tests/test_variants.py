@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.operators import variants
 from textloom.operators.index import build_index
@@ -41,3 +43,8 @@ def test_marks_and_percentiles(spark):
     values = spark.createDataFrame([(float(k),) for k in range(100)], "v double")
     r = variants.nearest_rank(values, "v", {"median": 0.5, "p99": 0.99}).first()
     assert (r["min"], r["max"], r["median"], r["p99"]) == (0.0, 99.0, 50.0, 99.0)
+
+
+def test_bag_tokens(spark):
+    row = spark.createDataFrame([("naïve_test a Databases the",)], "t string").select(variants.bag_tokens(F.col("t"), 2).alias("s")).first()
+    assert row.s == ["nai", "ve", "test", "databas"]

@@ -51,3 +51,13 @@ def test_bounds_and_folding():
 def test_pipeline():
     found = {t for t, *_ in analyze_text("Fault-tolerant consensus algorithms for distributed databases")}
     assert found == {"fault", "toler", "consensu", "algorithm", "distribut", "databas"}
+
+
+def test_sql_functions(spark):
+    from textloom.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT stem('Searching') AS s, fold('Café') AS f, normalize_term('Databases') AS n, stem(CAST(NULL AS STRING)) AS z").first()
+    assert tuple(row) == ("search", "cafe", "databas", None)
+    rows = spark.sql("SELECT d.id, t.term, t.position FROM VALUES (1, 'The databases'), (2, NULL) AS d(id, text), LATERAL tokenize(d.text) t").collect()
+    assert [tuple(r) for r in rows] == [(1, "databas", 0)]

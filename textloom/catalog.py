@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import analysis, codecs
 from textloom.functions.analysis import AnalyzerConfig
+from textloom.functions.register import register
 from textloom.functions.words import STOP_WORDS
 from textloom.operators import index as tables, ranking, variants
 from textloom.operators.numbering import numbered
@@ -122,6 +123,32 @@ def fold_text(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", analysis.filter_chars(F.col("text"), PLAIN).alias("folded"))
 
 
+@_query(f"SELECT doc_id, {_FOLD} AS folded FROM documents WHERE text IS NOT NULL")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions in a SQL statement."""
+    register(spark)
+    return spark.sql("SELECT doc_id, fold(text) AS folded FROM {docs} WHERE text IS NOT NULL", docs=_documents(spark, d))
+
+
+@_query()
+def tokenize_table_function(spark: SparkSession, d: str) -> DataFrame:
+    register(spark, PLAIN)
+    sql = "SELECT d.term_id, t.term, t.position FROM {g} d, LATERAL tokenize(d.term) t"
+    return spark.sql(sql, g=table(spark, d, "glossary").select("term_id", "term"))
+
+
+@_query()
+def bag_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Stems of the bag modes: marks part words, single characters are dropped."""
+    return _documents(spark, d).select("doc_id", variants.bag_tokens(F.col("text"), 2).alias("stems"))
+
+
+@_query("SELECT DISTINCT doc_id FROM indexable_docs WHERE coalesce(title, '') <> '' OR coalesce(body, '') <> ''")
+def bulk_import(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a bulk import keeps: those with a title or a body."""
+    return files.imported(_records(spark, d)).select("doc_id")
+
+
 @_query(f"WITH {_TOKENS} SELECT doc_id, term, position FROM tok")
 def tokenize_positions(spark: SparkSession, d: str) -> DataFrame:
     listed = _documents(spark, d).where("doc_id is not null").select("doc_id", analysis.tokens(F.col("text"), PLAIN).alias("t"))

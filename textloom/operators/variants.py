@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from textloom.functions.analysis import AnalyzerConfig, normalize_term, stem_all, stem_word, strip_diacritics
 from textloom.functions.words import STOP_WORDS
@@ -12,11 +14,17 @@ from textloom.operators.numbering import ranked
 
 #: Words of the bag modes: letters and digits, no underscore.
 WORD = r"[\p{L}\p{N}]+"
+# Stop words of the engine that the bag modes don't have, and one that only they have.
+BAG_STOP_WORDS = STOP_WORDS - frozenset(
+    """aren arent can cant couldn couldnt d didn didnt doesn doesnt don dont hadn hadnt hasn hasnt haven havent isn isnt just ll m ma
+mightn mightnt mustn mustnt needn neednt now o re s shan shant shouldn shouldnt t ve wasn wasnt weren werent will won wont wouldn
+wouldnt y""".split()
+) | {"ought"}
 #: What a document gains that matches every stem.
 ALL_STEMS = 1.35
 
 
-def bag_tokens(c: Column, least: int = 1, stop_words: frozenset[str] = STOP_WORDS) -> Column:
+def bag_tokens(c: Column, least: int = 1, stop_words: frozenset[str] = BAG_STOP_WORDS) -> Column:
     """Stems for the bag modes. The text is decomposed but combining marks stay, so they part
     words; no upper bound; ``least`` 2 drops single characters."""
     decomposed = F.lower(_decomposed(c))
@@ -26,13 +34,8 @@ def bag_tokens(c: Column, least: int = 1, stop_words: frozenset[str] = STOP_WORD
 
 
 def _decomposed(c: Column) -> Column:
-    import unicodedata
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
-    def nfkd(s: pd.Series) -> pd.Series:
+    def nfkd(s):
         return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 
     wide = c.rlike(r"[^\x00-\x7f]")
