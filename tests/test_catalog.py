@@ -10,3 +10,12 @@ def run(spark, name):
 def test_lexicon_sorted_is_whole(spark):
     every = sorted(run(spark, "term_stats"))
     assert len(every) > 200 and run(spark, "lexicon_sorted") == every
+
+
+def test_varint_encode_takes_all_keys(spark, tmp_path):
+    codes = {
+        0: "00", 2097151: "FFFF7F", 2097152: "80808001", 268435455: "FFFFFF7F", 268435456: "8080808001",
+        2**32 - 1: "FFFFFFFF0F", 2**32 + 1: "01", -1: "FFFFFFFF0F", None: None,
+    }
+    spark.createDataFrame([(k,) for k in codes], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert dict(map(tuple, catalog.queries()["varint_encode"](spark, str(tmp_path)).collect())) == codes

@@ -551,8 +551,8 @@ def varint_size(spark: SparkSession, d: str) -> DataFrame:
 ELSE printf('%02X%02X%02X', o_orderkey % 128 + 128, o_orderkey // 128 % 128 + 128, o_orderkey // 16384) END AS code FROM orders WHERE o_orderkey BETWEEN 0 AND 2097151"""
 )
 def varint_encode(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderkey between 0 and 2097151")
-    return orders.select("o_orderkey", F.hex(codecs.encode_varint(F.col("o_orderkey"))).alias("code"))
+    """Codes of all keys; the SQL beside it states those of one to three bytes."""
+    return table(spark, d, "orders").select("o_orderkey", F.hex(codecs.encode_varint(F.col("o_orderkey"))).alias("code"))
 
 
 @_query("SELECT DISTINCT term, doc_id, positions::BIGINT[] AS positions FROM postings WHERE positions IS NOT NULL")

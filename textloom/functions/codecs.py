@@ -33,7 +33,8 @@ def _varint_hex(n: Column) -> Column:
 
 
 def encode_varint(n: Column) -> Column:
-    return F.unhex(_varint_hex(n))
+    """Bytes of one number as LEB128 of its 32 low bits; null gives null."""
+    return F.when(n.isNotNull(), F.unhex(_varint_hex(n)))
 
 
 def encode_varints(numbers: Column) -> Column:
