@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import pytest
 
 from textloom.llm import abuse
@@ -50,3 +54,19 @@ def test_rows(spark):
     assert rates["a"] == (2, 1) and rates[None] == (1, 0)
     empty = df.limit(0)
     assert abuse.fit_counts(empty) == {} and abuse.scores(empty, {}).count() == 0
+
+
+def test_model_counts_every_text(spark):
+    letters = "abcdefghij"
+    texts = [" ".join("q" + "".join(letters[int(x)] for x in str(n)) for n in range(4 * k, 4 * k + 4)) for k in range(6_000)]
+    texts += ["Жук naïve the"] * 9_000 + ["morooons moroooons"] * 9
+    fitted = abuse.fit_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts = Counter(re.sub(r"(.)\1{2,}", r"\1", w) for t in texts for w in t.lower().split())
+    words = {w: math.log1p(n) for w, n in counts.items()}
+    assert len(words) > 23_000 and fitted.mean == pytest.approx(sum(words.values()) / len(words), abs=1e-5)
+    whole, model = abuse.CharacterModel(words), abuse.CharacterModel({}, grams=fitted)
+    for word in ["qjjj", "qcdeff", "naïve", "the", "zzz", "idiot"]:
+        padded = "\x02" * 4 + word + "\x02"
+        for k in range(4, len(padded)):
+            assert model.logp(padded[k - 4 : k], padded[k]) == pytest.approx(whole.logp(padded[k - 4 : k], padded[k]), abs=1e-4)
+    assert abuse.Restorer(fitted)("you morooons, moroooons") == "you morons, morons"

@@ -76,12 +76,22 @@ LEET = {
 _ANY = set("*#%?&^~")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöúùûüßœ"
 _EDGE = "\x02"
+_OTHER = "\x03"
+_ORDER = 5
+
+
+class Grams(dict[str, float]):
+    """Summed weights of each letter with up to four signs before it, over the words of a table;
+    ``mean`` is the mean weight of a word."""
+
+    mean = 0.0
 
 
 class CharacterModel:
-    """Letters of words given the letters before them, by interpolated counts up to ``order``."""
+    """Letters of words given the letters before them, by interpolated counts up to ``order``;
+    ``grams`` are added to the counts of ``words``."""
 
-    def __init__(self, words: dict[str, float], order: int = 5) -> None:
+    def __init__(self, words: dict[str, float], order: int = _ORDER, grams: Grams | None = None) -> None:
         self.order = order
         self.counts: list[dict[str, dict[str, float]]] = [{} for _ in range(order)]
         for word, weight in words.items():
@@ -90,6 +100,9 @@ class CharacterModel:
                 for n in range(order):
                     row = self.counts[n].setdefault(padded[k - n : k], {})
                     row[padded[k]] = row.get(padded[k], 0) + weight
+        for gram, weight in (grams or {}).items():
+            row = self.counts[len(gram) - 1].setdefault(gram[:-1], {})
+            row[gram[-1]] = row.get(gram[-1], 0) + weight
         self.totals = [{h: sum(row.values()) for h, row in level.items()} for level in self.counts]
         self.memo: dict[tuple[str, str], float] = {}
 
@@ -175,8 +188,9 @@ class Restorer:
 
     def __init__(self, counts: dict[str, float]) -> None:
         known = _vocabulary()
-        weight = 4.0 * max(1.0, sum(counts.values()) / max(1, len(counts)))
-        self.model = CharacterModel({**counts, **{w: counts.get(w, 0) + weight for w in known if len(w) > 2}})
+        words, grams = ({}, counts) if isinstance(counts, Grams) else (counts, Grams())
+        weight = 4.0 * max(1.0, grams.mean, sum(words.values()) / max(1, len(words)))
+        self.model = CharacterModel({**words, **{w: words.get(w, 0) + weight for w in known if len(w) > 2}}, grams=grams)
         #: Nobody masks harmless words, so a masked token's letters come from the known ones alone.
         self.masked = CharacterModel({w: 1.0 for w in known if len(w) > 2}, order=6)
         self.known = known
@@ -259,19 +273,39 @@ def score_restored(text: str) -> float:
     return round(1 - harmless * weak, 6)
 
 
-#: Documents that the character model is fitted on.
-MODEL_DOCUMENTS = 5_000
+#: Weights are summed as whole numbers of this part, so that their order doesn't matter.
+_UNIT = 1e-6
 
 
-def fit_counts(df: DataFrame, text: str = "text", documents: int = MODEL_DOCUMENTS) -> dict[str, float]:
-    """Word counts of a bounded sample, the ``documents`` rows with the smallest hash of their
-    text; the character model is fitted on them. Fewer rows are all taken; none gives none."""
-    sample = (
-        df.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).orderBy("h").limit(documents)
+def fit_counts(df: DataFrame, text: str = "text") -> Grams:
+    """The n-grams that the character model needs, over the distinct words of all texts, each
+    word with the logarithm of its count as weight. Only n-grams reach the driver: their number
+    is bounded by the alphabet, not by the table. A letter three times or more in a row counts once,
+    else stretched words would teach the model that they are right. Letters that no known word can hold become one
+    sign, which counts in totals but never as a history. No text gives none."""
+    letters = "".join(sorted({*_ALPHABET, *"".join(_vocabulary())}))
+    words = df.where(F.length(text) > 0).select(
+        F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]{2,20})"), F.lit(1))).alias("w")
     )
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}]{2,20})"), F.lit(1))).alias("w"))
-    rows = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20_000).collect()
-    return {r["w"]: math.log1p(r["count"]) for r in rows}
+    words = words.select(F.regexp_replace("w", r"(\p{L})\1{2,}", "$1").alias("w"))
+    padded = F.concat(F.lit(_EDGE * (_ORDER - 1)), F.regexp_replace("w", f"[^{letters}]", _OTHER), F.lit(_EDGE))
+    weighted = words.groupBy("w").count().select(padded.alias("p"), F.round(F.log1p("count") / _UNIT).cast("long").alias("weight"))
+    at = F.sequence(F.lit(_ORDER), F.length("p"))
+    grams = F.transform(at, lambda k: F.transform(F.sequence(F.lit(0), F.lit(_ORDER - 1)), lambda n: F.substr("p", k - n, n + 1)))
+    # the empty one stands for the words themselves
+    summed = (
+        weighted.select(F.explode(F.concat(F.flatten(grams), F.array(F.lit("")))).alias("gram"), "weight")
+        .where(~F.col("gram").rlike(f"{_OTHER}."))
+        .groupBy("gram")
+        .agg(F.sum("weight").alias("weight"), F.count("*").alias("words"))
+    )
+    out = Grams()
+    for gram, weight, n in zip(*(c.to_pylist() for c in summed.toArrow().columns), strict=True):
+        if gram:
+            out[gram] = weight * _UNIT
+        else:
+            out.mean = weight * _UNIT / n
+    return out
 
 
 def scores(df: DataFrame, counts: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
