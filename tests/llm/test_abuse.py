@@ -70,3 +70,14 @@ def test_model_counts_every_text(spark):
         for k in range(4, len(padded)):
             assert model.logp(padded[k - 4 : k], padded[k]) == pytest.approx(whole.logp(padded[k - 4 : k], padded[k]), abs=1e-4)
     assert abuse.Restorer(fitted)("you morooons, moroooons") == "you morons, morons"
+
+
+@pytest.mark.parametrize(
+    ("token", "word"),
+    [
+        ("a55h0l3", "asshole"), ("1d10t", "idiot"), ("1d" + "i" * 60 + "0t", "idiot"), ("i" * 50 + "diot", "idiot"), ("m-" * 30 + "0-r-0-n", "moron"),
+        ("d" + "*" * 5 + "s", "dumbass"), ("107", "107"), ("934ms", "934ms"), ("3.14e-10", "3.14e-10"), ("a1b2c3d4e5f6" * 5, "a1b2c3d4e5f6" * 5),
+    ],
+)
+def test_restores_digits_and_long_tokens(restore, token, word):
+    assert restore(token) == word

@@ -181,10 +181,23 @@ def squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+@lru_cache(maxsize=1)
+def _longest() -> int:
+    return max(map(len, _vocabulary()))
+
+
+def shortened(token: str) -> str:
+    """A token without separators, with a letter at most twice in a row and another sign at most
+    as often as the longest known word has letters."""
+    signs = "".join(c for c in token if c.isalpha() or c in LEET or c in _ANY)
+    return re.sub(r"(.)\1{2,}", lambda m: m[1] * min(len(m[0]), 2 if m[1].isalpha() else _longest()), signs)
+
+
 class Restorer:
     """Brings disguised words of a text back: look-alikes and invisible signs by the transducer,
     leetspeak, masks, separators and repetitions by decoding. A token is decoded only if it
-    holds letters besides odd signs, and the result is taken only if it is a known word."""
+    holds letters besides odd signs, and the result is taken only if it is a known word. Tokens of
+    more than 40 signs are shortened first; those of few letters are decoded like masked ones."""
 
     def __init__(self, counts: dict[str, float]) -> None:
         known = _vocabulary()
@@ -200,18 +213,21 @@ class Restorer:
     def token(self, token: str) -> str:
         core = _CORE.sub("", token)
         letters = sum(c.isalpha() for c in core)
-        if core in self.known or letters < 1 or len(core) < 3 or len(core) > 40:
+        if core in self.known or letters < 1 or len(core) < 3:
             return token
-        odd = bool(_ODD.search(core))
-        if odd and (letters * 3 < len(core) and "*" not in core or sum(c.isdigit() for c in core) * 2 > len(core)):
+        form = core if len(core) <= 40 else shortened(core)
+        # each letter that doesn't repeat the one before it stays in the word
+        if len(form) > 40 and sum(c.isalpha() and c != before for before, c in zip(" " + form, form, strict=False)) > _longest():
             return token
-        if not odd and not (_TRIPLE.search(core) and squeezed(core) in self.short):
+        odd = bool(_ODD.search(form))
+        rich = odd and (letters * 3 < len(core) and "*" not in core or sum(c.isdigit() for c in core) * 2 > len(core))
+        if not odd and not (_TRIPLE.search(form) and squeezed(form) in self.short):
             return token
         if core not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            word = viterbi(core, self.masked if _MASK.search(core) else self.model)
-            self.memo[core] = word if word in self.known else core
+            word = viterbi(form, self.masked if rich or _MASK.search(form) else self.model)
+            self.memo[core] = word if word in self.known and (len(word) > 2 or not rich) else core
         return token.replace(core, self.memo[core], 1)
 
     def __call__(self, text: str) -> str:
