@@ -19,3 +19,10 @@ def test_varint_encode_takes_all_keys(spark, tmp_path):
     }
     spark.createDataFrame([(k,) for k in codes], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert dict(map(tuple, catalog.queries()["varint_encode"](spark, str(tmp_path)).collect())) == codes
+
+
+def test_number_documents_without_a_path(spark, tmp_path):
+    rows = [(5, None), (1, "b"), (2, "a"), (4, None), (3, "a")]
+    spark.createDataFrame(rows, "doc_id long, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["number_documents"](spark, str(tmp_path)).collect()
+    assert dict(map(tuple, found)) == {2: 1, 3: 2, 1: 3, 4: 4, 5: 5}

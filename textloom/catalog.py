@@ -620,8 +620,9 @@ def upsert_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT doc_id, row_number() OVER (ORDER BY path, doc_id)::BIGINT AS number FROM documents WHERE path IS NOT NULL")
 def number_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("path is not null").select("doc_id", "path")
-    return numbered(docs, ["path", "doc_id"]).select("doc_id", "number")
+    """Numbers of all documents, those without a path last; the SQL beside it leaves these out."""
+    docs = table(spark, d, "documents").select("doc_id", "path")
+    return numbered(docs, [F.col("path").asc_nulls_last(), "doc_id"]).select("doc_id", "number")
 
 
 @_query("SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events")

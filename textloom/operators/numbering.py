@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.plans.session import cut
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "number", first: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "number", first: int = 1) -> DataFrame:
     """``df`` with ``name`` counting from ``first`` in ``order``: rows are range-partitioned and
     sorted, numbered inside their partition, and moved by the rows of the partitions before it
     (one count per partition reaches the driver)."""
