@@ -26,3 +26,7 @@ def test_number_documents_without_a_path(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, path string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.queries()["number_documents"](spark, str(tmp_path)).collect()
     assert dict(map(tuple, found)) == {2: 1, 3: 2, 1: 3, 4: 4, 5: 5}
+
+
+def test_table_function_takes_whole_texts(spark):
+    assert sorted(run(spark, "tokenize_table_function")) == sorted(run(spark, "tokenize_positions"))

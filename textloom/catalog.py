@@ -133,8 +133,8 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def tokenize_table_function(spark: SparkSession, d: str) -> DataFrame:
     register(spark, PLAIN)
-    sql = "SELECT d.term_id, t.term, t.position FROM {g} d, LATERAL tokenize(d.term) t"
-    return spark.sql(sql, g=table(spark, d, "glossary").select("term_id", "term"))
+    sql = "SELECT d.doc_id, t.term, t.position FROM {docs} d, LATERAL tokenize(d.text) t"
+    return spark.sql(sql, docs=_documents(spark, d))
 
 
 @_query()
