@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,16 +46,51 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, which all executors
-    share, so that later jobs neither recompute it nor depend on one executor's disk.
-    Only where no folder is configured (single-machine tests) a temporary one is used."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Only where none is
+    configured (single-machine tests) a temporary one is used."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", "") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        shared = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
         if not shared:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="textloom-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that later jobs neither recompute it nor
+    depend on one executor's disk. Spark removes the files with the plan that reads them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table below the shared folder and read again: for tables that
+    several jobs read, each other columns of. The tables stay until ``release`` or the end of
+    the session's process."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Remove the tables of ``written``; DataFrames that read them can't be used any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            sc = spark.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended before
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
