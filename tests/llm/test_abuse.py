@@ -23,9 +23,10 @@ def test_restores(restore, token, word):
     assert restore(token) == word
 
 
+#: Sentences that stand in no table.
 BAD = [
-    "You people are pigs, all of you.", "you are such a 1d!ot, stop", "Halt die Fresse, Dummkopf.", "Ferme ta GUEULE!!\navec ton x", "Eres un estúpido, deja eso.",
-    "They are not even human.", "esa raza sucia no sabe pensar", "Dieses Pack ist minderwertig.", "Watch free hardcore p0rn at x.", "I'm so horny right now", "estoy cachondo",
+    "What an imbecile you are", "You are a stupid liar and everyone hates you.", "all immigrants are rats", "send me your nude pics, I want to fuck you",
+    "Du bist so ein 1d!ot, halt dein maul", "je vais te tuer, sale c0nnard", "eres una b a s u r a", "your mother is a wh0re", "those people are vermin",
 ]
 GOOD = [
     "", "kill the parent and every orphaned child process dies", "The word list flags terms such as idiot or porn.", "Le mot « idiot » figure dans la liste noire.",
@@ -34,26 +35,54 @@ GOOD = [
 ]
 
 
-@pytest.mark.parametrize("text", BAD)
-def test_bad(restore, text):
-    assert abuse.score_restored(restore(text)) >= 0.5
+def test_prior_alone(restore):
+    read, model = abuse.Reader(restore), abuse.Model()
+    assert (model.scores([read(t) for t in BAD]) >= abuse.THRESHOLD).all()
+    assert (model.scores([read(t) for t in GOOD]) < abuse.THRESHOLD).all()
 
 
-@pytest.mark.parametrize("text", GOOD)
-def test_good(restore, text):
-    assert abuse.score_restored(restore(text)) < 0.5
+def test_scores_go_by_sentence_and_text(restore):
+    read, model = abuse.Reader(restore), abuse.Model()
+    apart = model.scores([read("You are here. An idiot proof lock"), read("you"), [], read("idiot"), read("?!"), read("you idiot")])
+    assert apart[2] == apart[4] == 0 and apart[5] > 0.5 > apart[0] >= max(apart[1], apart[3])
+
+
+def test_fits_labels(restore):
+    """Words of no list are learned from labels of texts, some of them mistaken."""
+    import random
+
+    rng, read = random.Random(3), abuse.Reader(restore)
+    plain = [f"w{k}" for k in range(200)]
+    sentence = lambda *extra: " ".join([*rng.sample(plain, 6), *extra, *rng.sample(plain, 2)]) + "."
+    texts, labels = [], []
+    for k in range(900):
+        bad = k % 15 == 0
+        texts.append(" ".join([sentence(), sentence(*(["zorg", "blat"] if bad else [])), sentence()]))
+        labels.append(bad if k % 150 != 1 else True)
+    numbers = [read(t) for t in texts]
+    weights, classes = abuse.fitted(numbers[:600], abuse.np.array(labels[:600]))
+    found = abuse.Model(weights=weights, classes=classes).scores(numbers[600:]) >= abuse.THRESHOLD
+    truth = [k % 15 == 0 for k in range(600, 900)]
+    assert sum(f == t for f, t in zip(found, truth, strict=True)) >= 297
 
 
 def test_rows(spark):
     rows = [(1, "You are such a moron, stop.", "a", 1.0), (2, None, "a", None), (3, "", None, None), (4, "fine " * 100_000, "b", 0.5), (4, "fine", "b", None), (None, "x", "b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
-    counts = abuse.fit_counts(df)
-    out = abuse.scores(df, counts)
+    labels = spark.createDataFrame([(1, 1), (1, None), (4, 0), (None, 1), (2, 0), (9, 1)], "doc_id long, toxic int")
+    out = abuse.scores(df, abuse.fit(df, labels), keep=("source",))
     assert {r.doc_id for r in out.where("score >= 0.5").collect()} == {1} and out.count() == 6
-    rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(df.dropDuplicates(["doc_id"]), out.dropDuplicates(["doc_id"])).collect()}
+    rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(out.dropDuplicates(["doc_id"])).collect()}
     assert rates["a"] == (2, 1) and rates[None] == (1, 0)
     empty = df.limit(0)
-    assert abuse.fit_counts(empty) == {} and abuse.scores(empty, {}).count() == 0
+    model = abuse.fit(empty, labels.limit(0))
+    assert model.grams == {} and abuse.scores(empty, model).count() == 0
+    assert abuse.scores(df, model).where("score >= 0.5").count() == 1
+
+
+def test_masks_are_decoded_exactly():
+    trie = abuse.Trie(["idiot", "idiots", "moron", "merde"])
+    assert [trie.viterbi(x) for x in ("i****", "m***n", "m****", "*****s", "q**", "i-d-i-*-t")] == ["idiot", "moron", "merde", "idiots", None, "idiot"]
 
 
 def test_model_counts_every_text(spark):

@@ -106,17 +106,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).where("piece > 0").select("doc_id").distinct()
 
 
+def _scored(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    documents = _rows(spark, d, "documents", "doc_id", "text", *keep)
+    return abuse.scores(documents, abuse.fit(documents, table(spark, d, "labels")), keep=keep)
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    documents = _rows(spark, d, "documents", "doc_id", "text")
-    return abuse.scores(documents, abuse.fit_counts(documents))
+    return _scored(spark, d)
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(table(spark, d, "documents"), p9_scores(spark, d))
+    return abuse.rates(_scored(spark, d, "source"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_scores(spark, d).where("score >= 0.5").select("doc_id").distinct()
+    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
 
 
 _POSTINGS = """
