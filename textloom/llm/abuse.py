@@ -446,9 +446,9 @@ def fit_counts(df: DataFrame, text: str = "text") -> Grams:
     words = df.where(F.length(text) > 0).select(
         F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]{2,20})"), F.lit(1))).alias("w")
     )
-    words = words.select(F.regexp_replace("w", r"(\p{L})\1{2,}", "$1").alias("w"))
+    words = words.groupBy("w").count().select(F.regexp_replace("w", r"(\p{L})\1{2,}", "$1").alias("w"), "count")
     padded = F.concat(F.lit(_EDGE * (_ORDER - 1)), F.regexp_replace("w", f"[^{letters}]", _OTHER), F.lit(_EDGE))
-    weighted = words.groupBy("w").count().select(padded.alias("p"), F.round(F.log1p("count") / _UNIT).cast("long").alias("weight"))
+    weighted = words.groupBy("w").agg(F.sum("count").alias("count")).select(padded.alias("p"), F.round(F.log1p("count") / _UNIT).cast("long").alias("weight"))
     at = F.sequence(F.lit(_ORDER), F.length("p"))
     grams = F.transform(at, lambda k: F.transform(F.sequence(F.lit(0), F.lit(_ORDER - 1)), lambda n: F.substr("p", k - n, n + 1)))
     # the empty one stands for the words themselves
