@@ -51,3 +51,44 @@ def test_templates(spark):
     assert markup.tokens(empty).count() == 0 and markup.cleaned(empty).count() == 0
     assert markup.equivalence_classes(markup.tokens(empty)).count() == 0
     assert {r.doc_id for r in markup.cleaned(pages).collect()} == {0, 1, 2, 3, 8}
+
+
+@pytest.mark.parametrize(
+    "sign", ["\\begin{verbatim}", "<pre>", "<!--", "```\nx\n", "\\(", "$ a=b", "\\emph{", "{{", "<code>", "<ref>", "= a  ", " ", "**a", "''a 'b", " |", "\\begin{align}"]
+)
+def test_unclosed_signs_take_linear_time(sign):
+    import time
+
+    text = sign * (131_072 // len(sign))
+    began = time.process_time()
+    markup.clean(text)
+    assert time.process_time() - began < 2  # some 0.1 s; quadratic time would be minutes
+
+
+def test_stretches_end_where_their_closer_is():
+    assert markup.clean("a <pre>b\n<pre>c</pre> d </pre>") == "a\n\n    b\n    c\n\nd"
+    assert markup.clean("```\na\n~~~\nb\n```\n# c") == "a\n~~~\nb".replace("\n", "\n    ").join(["    ", "\n\nc"])
+    assert markup.languages("\\( a\n b \\)") == [] and markup.languages("\\( a \\) b \\)") == ["latex"]
+    assert markup.languages("a $5 or $6 b") == [] and markup.languages("$5, $x_1$") == ["latex"]
+    assert markup.clean("\\emph{a {b} c} {d}") == "a {b} c {d}"
+
+
+def test_nested_templates_and_kinds(spark):
+    row = "<tr><td>{0}</td></tr>"
+    page = "<html><body><table>{0}</table></body></html>"
+    rows = [(k, page.format("".join(row.format(f"v{k}{n}") for n in range(1 + k % 3))) + ("*x* _y_ `z`" if k == 5 else ""), "host/a.x") for k in range(6)]
+    rows += [(7, "<b>x</b>", "host/b.x"), (8, "plain", "host/c.x")]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, path string").selectExpr("*", "null as category", "cast(null as string) as text")
+    pages = markup.fields(docs)
+    found = markup.tokens(pages)
+    classes = markup.equivalence_classes(found)
+    by = {tuple(c.tokens): (c.parent_id, c.gap, c.class_id) for c in classes.collect()}
+    outer = ("html:html", "html:body", "html:table", "html:/table", "html:/body", "html:/html")
+    inner = next(t for t in by if "html:tr" in t)
+    assert set(by) == {outer, inner} and by[inner][:2] == (by[outer][2], 3) and by[outer][0] is None
+    kinds = {(r.doc_id, r.kind, r.part) for r in markup.kinds(found, classes).collect()}
+    assert kinds == {(k, "html", "template") for k in range(6)} | {(5, "markdown", "slot"), (7, "html", "slot")}
+    slots = markup.slots(pages, classes).collect()
+    assert {r.doc_id for r in slots} == set(range(6)) and {r.value for r in slots if r.doc_id == 1} == {"v10", "v11"}
+    cleaned = {r.doc_id: r.clean for r in markup.cleaned(pages, classes).collect()}
+    assert cleaned[1].split() == ["v10", "v11"] and cleaned[7] == "x" and cleaned[8] == "plain"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import abuse, distinctiveness, encoding, frequencies, markup, near_duplicates, packing, splitting, visual_forms
-from textloom.plans.session import spread, table
+from textloom.plans.session import spread, table, written
 
 
 def _rows(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
@@ -46,21 +46,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _deduced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fields with text, their markup tokens, and the templates deduced from these."""
+    pages = markup.fields(_rows(spark, d, "indexable_docs", *_RECORD))
+    found = written(markup.tokens(pages))
+    return pages, found, written(markup.equivalence_classes(found))
+
+
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.cleaned(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct())
+    pages, found, classes = _deduced(spark, d)
+    return markup.cleaned(pages.distinct(), classes, found)
 
 
 def p3_templates(spark: SparkSession, d: str) -> DataFrame:
-    return markup.equivalence_classes(markup.tokens(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct()))
+    return _deduced(spark, d)[2]
 
 
 def p3_slots(spark: SparkSession, d: str) -> DataFrame:
-    return markup.slots(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)).distinct(), p3_templates(spark, d))
+    pages, found, classes = _deduced(spark, d)
+    return markup.slots(pages.distinct(), classes, found)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.tokens(markup.fields(_rows(spark, d, "indexable_docs", *_RECORD)))
-    return found.select("doc_id", "field", F.col("language").alias("kind")).distinct()
+    _, found, classes = _deduced(spark, d)
+    return markup.kinds(found, classes).select("doc_id", "field", "kind").distinct()
 
 
 def _similar(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
