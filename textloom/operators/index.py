@@ -61,6 +61,9 @@ class Index:
     lexicon: DataFrame | None = None
     #: Whether the tables are read from files rather than worked out anew by every job.
     written: bool = False
+    #: The row of ``stats``, if it was stored.
+    stored_stats: DataFrame | None = None
+    _totals: dict | None = None
 
     @property
     def terms(self) -> DataFrame:
@@ -70,6 +73,16 @@ class Index:
     def stats(self) -> DataFrame:
         return corpus_stats(self.docs, self.terms)
 
+    def totals(self) -> dict:
+        """Number of documents and their average length, worked out or read once."""
+        if self._totals is None:
+            if self.stored_stats is not None:
+                row = self.stored_stats.select(F.col("total_documents").alias("n"), F.col("average_doc_length").alias("avg")).first()
+            else:
+                row = self.docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg")).first()
+            self._totals = row.asDict()
+        return self._totals
+
     def checkpointed(self) -> Index:
         """The same index with its tables written once to the shared checkpoint folder."""
         postings = cut(self.postings)

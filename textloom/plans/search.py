@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.functions.analysis import analyze_text, normalize_term
 from textloom.functions.snippets import snippet
@@ -14,7 +16,7 @@ from textloom.plans.language import And, Fuzzy, Node, Not, Or, Phrase, Prefix, T
 
 #: Fuzzy replacements of a word that isn't in the lexicon.
 REPLACEMENTS = 3
-#: Query terms that are pushed into the scan of the postings as a list of values.
+#: Terms that are pushed into a scan as a list of values; more are joined.
 PUSHED_TERMS = 400
 
 
@@ -33,11 +35,12 @@ class _Leaf:
 @dataclass
 class Plan:
     """A query with its leaves resolved. ``raw`` are the scoring strings in the order they
-    occur, each with the lexicon term that it stands for."""
+    occur, each with the lexicon term that it stands for; ``df`` are the frequencies of exact terms."""
 
     tree: Node
     leaves: list[_Leaf]
     raw: dict[str, tuple[int, str]]
+    df: dict[str, int] = field(default_factory=dict)
 
     def exact(self) -> set[str]:
         found = {t for leaf in self.leaves for t in (leaf.terms + (leaf.phrase or []))}
@@ -63,6 +66,26 @@ def _distance(term: Column, target: str, most: int) -> Column:
     return F.when((F.abs(F.length(term) - len(target)) <= most) & (d >= 0), d)
 
 
+def _local(index: Index, schema: str, rows: list[tuple]) -> DataFrame:
+    """Rows that the driver holds as a table whose size the optimizer knows."""
+    spark = index.docs.sparkSession
+    kind = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind), schema)
+
+
+def _near(index: Index, asked: DataFrame) -> DataFrame:
+    """``asked`` (with ``target, most``) joined with the lexicon terms within ``most`` edits, and
+    their distance ``d``. Lengths that can match are equal keys, so the lexicon is read once for
+    all words, however many there are."""
+    sizes = F.sequence(F.greatest(F.lit(0), F.length("target") - F.col("most")), F.length("target") + F.col("most"))
+    words = asked.withColumn("_size", F.explode(sizes))
+    terms = index.terms.select("term", "df", F.length("term").alias("_size"))
+    d = F.expr("levenshtein(lower(term), target, most)")
+    # what the driver held before isn't large for an executor
+    return terms.join(F.broadcast(words), "_size").withColumn("d", d).where("d >= 0").drop("_size")
+
+
 def _target(word: str, index: Index) -> str:
     return (normalize_term(word, index.config) or word).lower()
 
@@ -89,7 +112,14 @@ def resolve(index: Index, queries: dict[object, Node], fuzzy: bool | int = True)
                 words.update(t for t, *_ in analyze_text(" ".join(node.words), index.config))
     forms = {w: normalize_term(w, index.config) for w in words}
     asked = sorted(words | set(forms.values()))
-    known = {r[0] for r in index.terms.where(F.col("term").isin(asked)).select("term").collect()} if asked else set()
+    known: dict[str, int] = {}
+    if asked:
+        here = index.terms.select("term", "df")
+        if len(asked) <= PUSHED_TERMS:
+            here = here.where(F.col("term").isin(asked))
+        else:
+            here = here.join(F.broadcast(_local(index, "term string", [(w,) for w in asked])), "term")
+        known = dict(map(tuple, here.collect()))
 
     def stands_for(word: str) -> str | None:
         form = forms.get(word, word)
@@ -105,20 +135,18 @@ def resolve(index: Index, queries: dict[object, Node], fuzzy: bool | int = True)
                     missing[node.value] = (_target(node.value, index), most)
     nearest: dict[str, list[str]] = {}
     if missing:
-        near = F.array(
-            *(F.struct(F.lit(w).alias("word"), _distance(F.col("term"), t, n).alias("d")) for w, (t, n) in missing.items())
-        )
-        hits = index.terms.select("term", F.explode(near).alias("x")).where("x.d is not null")
+        hits = _near(index, _local(index, "word string, target string, most int", [(w, t, n) for w, (t, n) in missing.items()]))
         rows = ranking.top_each(
-            hits.select("x.word", "x.d", "term", F.collate("term", "UNICODE").alias("_order")).withColumn(
+            hits.select("word", "d", "term", "df", F.collate("term", "UNICODE").alias("_order")).withColumn(
                 "score", -F.col("d")
             ),
             "word", REPLACEMENTS, tie="_order",
-        ).select("word", "d", "term", "rank").collect()
+        ).select("word", "d", "term", "df", "rank").collect()
+        least: dict[str, int] = {}
         for r in sorted(rows, key=lambda r: r["rank"]):
-            best = nearest.setdefault(r["word"], [])
-            if r["d"] == min(x["d"] for x in rows if x["word"] == r["word"]):
-                best.append(r["term"])
+            if r["d"] == least.setdefault(r["word"], r["d"]):
+                nearest.setdefault(r["word"], []).append(r["term"])
+                known[r["term"]] = r["df"]
 
     plans = {}
     for key, tree in queries.items():
@@ -150,53 +178,81 @@ def resolve(index: Index, queries: dict[object, Node], fuzzy: bool | int = True)
                         score(w, stands_for(w))
             leaves.append(leaf)
         plans[key] = Plan(tree, leaves, raw)
+    for plan in plans.values():
+        plan.df = {t: known[t] for t in plan.exact() if t in known}
     return plans
 
 
-def _term_rows(index: Index, plans: dict[object, Plan]) -> DataFrame:
-    """``qid, term, df, leaves, raw`` of every lexicon term that a query needs: the leaves it
-    satisfies and the scoring strings (place, string) that stand for it."""
-    no_leaf, no_raw = F.array().cast("array<int>"), F.array().cast("array<struct<at:int,raw:string>>")
-    each, any_wanted = [], F.lit(False)
+ROWS = "qid int, term string, df long, leaves array<int>, raw array<struct<at:int,raw:string>>"
+
+
+def _exact_rows(plans: dict[object, Plan]) -> list[tuple]:
+    out = []
     for number, plan in enumerate(plans.values()):
         leaves: dict[str, list[int]] = {}
-        strings: dict[str, list[tuple[int, str]]] = {}
+        strings: dict[str, list[dict]] = {}
         for k, leaf in enumerate(plan.leaves):
             for t in leaf.terms:
                 leaves.setdefault(t, []).append(k)
         for word, (at, t) in plan.raw.items():
-            strings.setdefault(t, []).append((at, word))
-        exact = plan.exact()
-        term = F.col("term")
-        met = no_leaf
-        said = no_raw
-        if exact:
-            by_leaf = F.create_map(*(x for t in sorted(exact) for x in (F.lit(t), F.array(*map(F.lit, leaves.get(t, []))).cast("array<int>"))))
-            by_raw = F.create_map(
-                *(
-                    x for t in sorted(exact) for x in (
-                        F.lit(t),
-                        F.array(*(F.struct(F.lit(a).alias("at"), F.lit(w).alias("raw")) for a, w in strings.get(t, []))).cast("array<struct<at:int,raw:string>>"),
-                    )
-                )
-            )
-            met = F.coalesce(F.try_element_at(by_leaf, term), no_leaf)
-            said = F.coalesce(F.try_element_at(by_raw, term), no_raw)
-        reached = F.lit(False)
+            strings.setdefault(t, []).append({"at": at, "raw": word})
+        out += [(number, t, df, leaves.get(t, []), strings.get(t, [])) for t, df in sorted(plan.df.items())]
+    return out
+
+
+def _term_rows(index: Index, plans: dict[object, Plan]) -> tuple[DataFrame, list[str] | None]:
+    """``qid, term, df, leaves, raw`` of every lexicon term that a query needs: the leaves it
+    satisfies and the scoring strings (place, string) that stand for it; and these terms, if they
+    are few. Exact terms are known since they were resolved; prefixes and distances of all queries
+    are two tables that are joined to the lexicon."""
+    exact = _exact_rows(plans)
+    prefixes, near = [], []
+    for number, plan in enumerate(plans.values()):
         for k, leaf in plan.open_leaves():
-            hit = term.startswith(leaf.prefix) if leaf.prefix is not None else _distance(term, *leaf.near).isNotNull()
-            met = F.when(hit, F.array_append(met, F.lit(k))).otherwise(met)
-            reached = reached | hit
-            if leaf.scores:
-                own = F.struct(F.lit(len(plan.raw) + k).alias("at"), term.alias("raw"))
-                said = F.when(hit & ~F.exists(said, lambda x: x["raw"] == F.col("term")), F.array_append(said, own)).otherwise(said)
-        wanted = term.isin(sorted(exact)) | reached if exact else reached
-        any_wanted = any_wanted | wanted
-        each.append(F.when(wanted, F.struct(F.lit(number).alias("qid"), met.alias("leaves"), said.alias("raw"))))
-    hits = F.filter(F.array(*each), lambda x: x.isNotNull())
-    return index.terms.where(any_wanted).withColumn("x", F.explode(hits)).select(
-        "x.qid", "term", "df", "x.leaves", F.col("x.raw").alias("raw")
+            at = len(plan.raw) + k if leaf.scores else None
+            if leaf.prefix is not None:
+                prefixes.append((number, k, at, leaf.prefix))
+            else:
+                near.append((number, k, at, *leaf.near))
+    rows = _local(index, ROWS, exact)
+    if not prefixes and not near:
+        terms = sorted({r[1] for r in exact})
+        return rows, terms if len(terms) <= PUSHED_TERMS else None
+    hits = []
+    if prefixes:
+        lengths = F.array(*map(F.lit, sorted({len(p[3]) for p in prefixes})))
+        pieces = F.transform(F.filter(lengths, lambda n: n <= F.length("term")), lambda n: F.left("term", n))
+        asked = _local(index, "qid int, leaf int, at int, prefix string", prefixes)
+        hits.append(index.terms.select("term", "df", F.explode(pieces).alias("prefix")).join(F.broadcast(asked), "prefix"))
+    if near:
+        hits.append(_near(index, _local(index, "qid int, leaf int, at int, target string, most int", near)))
+    columns = ["qid", "term", "df", "leaf", "at"]
+    opened = hits[0].select(*columns) if len(hits) == 1 else hits[0].select(*columns).unionByName(hits[1].select(*columns))
+    own = F.when(F.col("at").isNotNull(), F.array(F.struct("at", F.col("term").alias("raw")))).otherwise(F.array())
+    said = F.sort_array(F.flatten(F.collect_list("raw")))
+    rows = (
+        opened.select("qid", "term", "df", F.array("leaf").alias("leaves"), own.cast("array<struct<at:int,raw:string>>").alias("raw"))
+        .unionByName(rows)
+        .groupBy("qid", "term")
+        .agg(F.max("df").alias("df"), F.flatten(F.collect_list("leaves")).alias("leaves"), said.alias("raw"))
     )
+    # a string scores a term once, at its first place
+    first = F.filter("raw", lambda x, k: ~F.exists(F.slice("raw", F.lit(1), k), lambda y: y["raw"] == x["raw"]))
+    rows = rows.withColumn("raw", first)
+    some = rows.limit(PUSHED_TERMS + 1).collect()
+    if len(some) > PUSHED_TERMS:
+        return rows, None
+    rows = _local(index, ROWS, [(r[0], r[1], r[2], r[3], [x.asDict() for x in r[4]]) for r in some])
+    return rows, sorted({r[1] for r in some})
+
+
+def _pushed(index: Index, rows: DataFrame, terms: list[str] | None) -> DataFrame:
+    """Postings joined with the rows of their terms. Few terms are pushed into the scan; for
+    many the postings are read once, and a frequent term is no hot key: its row is broadcast, or
+    its side is split while the join runs."""
+    if terms is None:
+        return index.postings.join(rows, "term")
+    return index.postings.where(F.col("term").isin(terms) if terms else F.lit(False)).join(F.broadcast(rows), "term")
 
 
 def _within(at: Column, slop: int):
@@ -255,6 +311,59 @@ def _matches(plan: Plan, met: Column, places: Column) -> Column:
     return condition(plan.tree)
 
 
+_NOT, _AND, _OR, _NEVER = -1, -2, -3, -4
+
+
+def _program(plan: Plan) -> list[int]:
+    """The condition of a query in postfix order: a leaf's number, or what joins those before."""
+    leaf_at = iter(range(len(plan.leaves)))
+
+    def code(node: Node) -> list[int]:
+        if isinstance(node, And | Or):
+            parts = [code(c) for c in node.children]
+            if not parts:
+                return [_NEVER]
+            return [*parts[0], *(x for p in parts[1:] for x in (*p, _AND if isinstance(node, And) else _OR))]
+        if isinstance(node, Not):
+            return [*code(node.child), _NOT]
+        return [next(leaf_at)]
+
+    return code(plan.tree)
+
+
+def _holds(program: Column, met: Column) -> Column:
+    """Whether a condition holds where the leaves ``met`` are; one expression for all queries."""
+
+    def step(stack: Column, op: Column) -> Column:
+        top, under = F.element_at(stack, -1), F.try_element_at(stack, F.lit(-2))
+        push = lambda rest, x: F.concat(rest, F.array(x))
+        drop = lambda n: F.slice(stack, F.lit(1), F.greatest(F.size(stack) - n, F.lit(0)))
+        return (
+            F.when(op >= 0, push(stack, F.array_contains(met, op)))
+            .when(op == _NEVER, push(stack, F.lit(False)))
+            .when(op == _NOT, push(drop(1), ~top))
+            .when(op == _AND, push(drop(2), top & under))
+            .otherwise(push(drop(2), top | under))
+        )
+
+    return F.coalesce(F.element_at(F.aggregate(program, F.array(F.lit(False)), step), -1), F.lit(False))
+
+
+def _phrase_leaves(phrases: Column, places: Column) -> Column:
+    """Leaves of the ``phrases`` (leaf, slop, terms) of a query that stand in ``places``."""
+    empty = F.array().cast("array<int>")
+
+    def stands(p: Column) -> Column:
+        lists = F.transform(p["terms"], lambda t: F.coalesce(F.try_element_at(places, t), empty))
+        rest = F.slice(lists, F.lit(2), F.greatest(F.size(lists) - 1, F.lit(0)))
+        chained = lambda start: F.aggregate(
+            rest, start, lambda at, y: F.array_min(F.filter(y, lambda x: (x > at) & (x <= at + 1 + p["slop"])))
+        )
+        return F.exists(F.coalesce(F.try_element_at(lists, F.lit(1)), empty), lambda start: chained(start).isNotNull())
+
+    return F.transform(F.filter(phrases, stands), lambda p: p["leaf"])
+
+
 def search_batch(
     index: Index, queries: dict[object, str | Node], *, limit: int | None = 10, fuzzy: bool | int = True, scorer: str = "bm25",
     k1: float | None = None, b: float | None = None, digits: int | None = None, resolved: dict[object, Plan] | None = None,
@@ -262,56 +371,58 @@ def search_batch(
     """Run many queries in one job: ``qid, doc_id, score, matched_terms, rank``.
 
     The lexicon terms of all queries are joined to the postings, once, and one aggregation by
-    query and document gives the leaves met, the score and the positions that phrases need.
+    query and document gives the leaves met, the score and the positions that phrases need. The
+    queries themselves are a table: their conditions and phrases are joined to the groups, so the
+    plan is the same for one query and for thousands.
     Every returned document has a positive score, so it has a posting of a scoring term; that
     is why one aggregation is enough even with NOT, and why a query of NOT alone finds nothing.
     Ties go to the smaller id; ``digits`` rounds scores before ranking; ``limit`` None keeps all.
     ``resolved`` are plans of the same queries made before.
     """
     plans = resolved or resolve(index, {q: parse(t) if isinstance(t, str) else t for q, t in queries.items()}, fuzzy)
-    total = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg")).first()
-    n, average = F.lit(total["n"]).cast("double"), F.lit(float(total["avg"]))
-    rows = _term_rows(index, plans)
+    total = index.totals()
+    n, average = F.lit(float(total["n"])), F.lit(float(total["avg"]))
+    rows, terms = _term_rows(index, plans)
     phrased = sorted({t for p in plans.values() for x in p.leaves for t in (x.phrase or [])})
-    postings = index.postings
-    if not any(p.open_leaves() for p in plans.values()):
-        exact = sorted({t for p in plans.values() for t in p.exact()})
-        if len(exact) <= PUSHED_TERMS:
-            postings = postings.where(F.col("term").isin(exact) if exact else F.lit(False))
-    columns = ["term", "doc_id", "tf", "length", *(["positions"] if phrased else [])]
     k1, b = index.k1 if k1 is None else k1, index.b if b is None else b
     if scorer == "bm25":
         one = ranking.bm25(F.col("tf"), F.col("length"), average, ranking.bm25_idf(F.col("df"), n), k1, b)
     else:
         one = ranking.tfidf(F.col("tf"), F.col("length"), ranking.tfidf_idf(F.col("df"), n))
-    places = F.lit(None).cast("map<string,array<int>>")
     aggregates = [
         F.array_distinct(F.flatten(F.collect_list("leaves"))).alias("met"),
         F.sum(one * F.size("raw")).alias("score"),
         F.sort_array(F.flatten(F.collect_list("raw"))).alias("said"),
     ]
     if phrased:
-        aggregates.append(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("term").isin(phrased), F.struct("term", "positions")))
-            ).alias("places")
-        )
-        places = F.col("places")
-    grouped = postings.select(*columns).join(rows, "term").groupBy("qid", "doc_id").agg(*aggregates)
-    matched = F.lit(False)
-    for number, plan in enumerate(plans.values()):
-        matched = F.when(F.col("qid") == number, _matches(plan, F.col("met"), places)).otherwise(matched)
+        needed = F.col("term").isin(phrased) if len(phrased) <= PUSHED_TERMS else F.lit(True)
+        aggregates.append(F.map_from_entries(F.collect_list(F.when(needed, F.struct("term", "positions")))).alias("places"))
+    grouped = _pushed(index, rows, terms).groupBy("qid", "doc_id").agg(*aggregates).where("score > 0")
+    if len(plans) == 1:
+        (plan,) = plans.values()
+        places = F.col("places") if phrased else F.lit(None).cast("map<string,array<int>>")
+        hits = grouped.where(_matches(plan, F.col("met"), places))
+    else:
+        asked = [
+            (number, _program(p), [{"leaf": k, "slop": x.node.slop, "terms": x.phrase} for k, x in enumerate(p.leaves) if x.phrase])
+            for number, p in enumerate(plans.values())
+        ]
+        conditions = _local(index, "qid int, program array<int>, phrases array<struct<leaf:int,slop:int,terms:array<string>>>", asked)
+        met = F.concat("met", _phrase_leaves(F.col("phrases"), F.col("places"))) if phrased else F.col("met")
+        hits = grouped.join(F.broadcast(conditions), "qid").withColumn("met", met).where(_holds(F.col("program"), F.col("met")))
     score = F.round("score", digits) if digits is not None else F.col("score")
-    hits = grouped.where(matched & (F.col("score") > 0)).select(
-        "qid", "doc_id", score.alias("score"), F.transform("said", lambda x: x["raw"]).alias("matched_terms")
-    )
+    hits = hits.select("qid", "doc_id", score.alias("score"), F.transform("said", lambda x: x["raw"]).alias("matched_terms"))
     if limit is not None and len(plans) > 1:
         hits = ranking.top_each(hits, "qid", limit)
     elif limit is not None:
         hits = ranking.top(hits, limit)
     names = list(plans)
     if names != list(range(len(names))):
-        hits = hits.withColumn("qid", F.element_at(F.array(*(F.lit(x) for x in names)), F.col("qid") + 1))
+        kind = "long" if all(isinstance(x, int) for x in names) else "string"
+        named = _local(index, f"qid int, name {kind}", [(k, x if kind == "long" else str(x)) for k, x in enumerate(names)])
+        hits = hits.join(F.broadcast(named), "qid").drop("qid").withColumnRenamed("name", "qid").select("qid", *[c for c in hits.columns if c != "qid"])
+        if limit is not None and len(plans) == 1:
+            hits = ranking.top(hits, limit)
     return hits
 
 
@@ -379,10 +490,10 @@ def matching(index: Index, query: str | Node, fuzzy: bool | int = True) -> DataF
     complement in all documents."""
     tree = parse(query) if isinstance(query, str) else query
     plan = resolve(index, {0: tree}, fuzzy)[0]
-    rows = _term_rows(index, {0: plan})
+    rows, terms = _term_rows(index, {0: plan})
     phrased = sorted({t for x in plan.leaves for t in (x.phrase or [])})
     grouped = (
-        index.postings.join(rows, "term")
+        _pushed(index, rows, terms)
         .groupBy("doc_id")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("leaves"))).alias("met"),

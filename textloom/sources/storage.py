@@ -67,7 +67,7 @@ def load(spark: SparkSession, path: str) -> Index:
     h = header(spark, path)
     base = f"{path}/{h['data']}"
     read = lambda name: spark.read.parquet(f"{base}/{name}")
-    return Index(read("docs"), read("postings"), AnalyzerConfig.from_dict(h["analyzer"]), h["k1"], h["b"], read("terms"), True)
+    return Index(read("docs"), read("postings"), AnalyzerConfig.from_dict(h["analyzer"]), h["k1"], h["b"], read("terms"), True, read("stats"))
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
