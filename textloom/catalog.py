@@ -18,7 +18,7 @@ from textloom.operators import index as tables, ranking, variants
 from textloom.operators.numbering import numbered
 from textloom.plans import search as plans
 from textloom.plans.language import Phrase
-from textloom.plans.session import spread, table
+from textloom.plans.session import scratch, spread, table
 from textloom.sources import files, storage
 from textloom.streaming import log
 
@@ -48,9 +48,17 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return t.where("doc_id is not null").dropDuplicates(["doc_id"])
 
 
-def _index(spark: SparkSession, d: str, config: AnalyzerConfig = PLAIN, stored: bool = False) -> tables.Index:
-    docs = _documents(spark, d)
-    return tables.build_index(docs, config, text=F.col("text"), check=False, store_fields=stored).checkpointed()
+_SAVED: dict[tuple, tables.Index] = {}
+
+
+def _index(spark: SparkSession, d: str, config: AnalyzerConfig = PLAIN) -> tables.Index:
+    """The index of the documents, saved as an engine would once for each session and folder, and
+    loaded again: all searches run on its files."""
+    key = (spark.sparkContext.applicationId, d, config)
+    if key not in _SAVED:
+        built = tables.build_index(_documents(spark, d), config, text=F.col("text"), check=False)
+        _SAVED[key] = storage.load(spark, storage.save(built, scratch(spark)))
+    return _SAVED[key]
 
 
 # SQL building blocks --------------------------------------------------------------------
@@ -501,13 +509,13 @@ def wand_topk_equiv(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d, AnalyzerConfig(), stored=True)
+    index = _index(spark, d, AnalyzerConfig())
     return plans.search(index, 'segments AND "posting lists" OR compac*', limit=20, digits=6)
 
 
 @_query()
 def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
-    return plans.search(_index(spark, d, stored=True), "segment AND index", limit=20, digits=6).select("doc_id", "snippet")
+    return plans.search(_index(spark, d), "segment AND index", limit=20, digits=6).select("doc_id", "snippet")
 
 
 _BATCH = {"cache": "cache", "pair": "segment AND index", "any": "cipher OR bitmap"}
@@ -564,7 +572,7 @@ def varint_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return storage.compression(_index(spark, d, stored=True))
+    return storage.compression(_index(spark, d))
 
 
 # The log, updates -----------------------------------------------------------------------

@@ -7,16 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.operators import index as tables
 from textloom.plans import search as plans
+from textloom.plans.session import cut
 from textloom.sources import files, storage
 from textloom.streaming import log
 
 
+#: Batches that are kept as segments of their own before they are written as one.
+MOST_SEGMENTS = 8
+
+
 class SearchEngine:
     """Documents, their index, and where both are kept.
 
-    Documents are added to a pending table; the index is rebuilt lazily over all of them when
-    it is next needed, and ``commit`` writes it and empties the log. Adding is atomic: a batch
-    with an id that is taken, or comes twice, is refused as a whole.
+    Batches of documents are pending until the index is next needed; then they alone are analysed
+    and become a segment beside what is indexed. Replaced and deleted documents are passed by.
+    ``commit`` writes everything as one index and empties the log. Adding is atomic: a batch with
+    an id that is taken, or comes twice, is refused as a whole.
     """
 
     def __init__(
@@ -25,17 +31,25 @@ class SearchEngine:
     ) -> None:
         self.spark, self.path, self.log_folder = spark, path, log_folder
         self.config, self.k1, self.b, self.store_fields = AnalyzerConfig.of(**analyzer), k1, b, store_fields
-        self._docs: DataFrame | None = None
+        self._pending: DataFrame | None = None
         self._index: tables.Index | None = None
+        self._segments = 0
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, log_folder: str | None = None) -> SearchEngine:
         found = storage.load(spark, path)
         engine = cls(spark, path, log_folder, k1=found.k1, b=found.b)
-        engine.config, engine._index = found.config, found
-        engine._docs = found.docs.drop("length")
+        engine.config, engine._index, engine._segments = found.config, found, 1
         return engine
 
+    @property
+    def _docs(self) -> DataFrame | None:
+        """All documents, pending ones included."""
+        indexed = self._index.docs.drop("length") if self._index is not None else None
+        if indexed is None or self._pending is None:
+            return self._pending if indexed is None else indexed
+        return indexed.unionByName(self._pending, allowMissingColumns=True)
+
     def add_documents(self, docs: DataFrame) -> SearchEngine:
         if "doc_id" not in docs.columns:
             docs = docs.withColumnRenamed("id", "doc_id")
@@ -45,8 +59,7 @@ class SearchEngine:
         return self._extend(docs)
 
     def _extend(self, docs: DataFrame) -> SearchEngine:
-        self._docs = docs if self._docs is None else self._docs.unionByName(docs, allowMissingColumns=True)
-        self._index = None
+        self._pending = docs if self._pending is None else self._pending.unionByName(docs, allowMissingColumns=True)
         return self
 
     def add_document(self, doc_id: int, **fields: str) -> SearchEngine:
@@ -63,12 +76,17 @@ class SearchEngine:
 
     @property
     def index(self) -> tables.Index:
-        if self._index is None:
-            docs = self._docs if self._docs is not None else self.spark.createDataFrame([], "doc_id long, text string")
+        if self._pending is None and self._index is None:
+            self._pending = self.spark.createDataFrame([], "doc_id long, text string")
+        if self._pending is not None:
             built = tables.build_index(
-                docs, self.config, check=False, store_fields=self.store_fields, k1=self.k1, b=self.b
-            )
-            self._index = built.checkpointed()
+                self._pending, self.config, check=False, store_fields=self.store_fields, k1=self.k1, b=self.b
+            ).checkpointed()
+            self._index = built if self._index is None else tables.merged(self._index, built)
+            self._pending = None
+            self._segments += 1
+            if self._segments > MOST_SEGMENTS:
+                self._index, self._segments = self._index.checkpointed(), 1
         return self._index
 
     def search(self, query: str, **options) -> DataFrame:
@@ -84,13 +102,19 @@ class SearchEngine:
         return self.index.docs
 
     def upsert(self, docs: DataFrame) -> SearchEngine:
-        self._docs = docs if self._docs is None else tables.upsert(self._docs, docs)
-        self._index = None
-        return self
+        return self.delete(docs)._extend(docs)
 
     def delete(self, ids: DataFrame) -> SearchEngine:
-        if self._docs is not None:
-            self._docs, self._index = tables.delete(self._docs, ids), None
+        if self._pending is not None:
+            self._pending = tables.delete(self._pending, ids)
+        if self._index is not None:
+            self._index = tables.without(self._index, ids)
+            self._segments += 1  # one more pass over the postings
+        return self
+
+    def clear(self) -> SearchEngine:
+        """Forget all documents; what was committed stays until the next commit."""
+        self._pending, self._index, self._segments = None, None, 0
         return self
 
     def commit(self) -> str:
@@ -106,8 +130,6 @@ class SearchEngine:
         if not self.log_folder:
             return 0
         fresh = log.replay(log.read(self.spark, self.log_folder), self._docs)
-        from textloom.plans.session import cut
-
         fresh = cut(fresh)
         if count := fresh.count():
             self._extend(fresh)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig, text_of, tokens
 from textloom.operators.numbering import ranked
-from textloom.plans.session import cut
+from textloom.plans.session import cut, written
 
 POSTINGS = "term string, doc_id long, tf int, positions array<int>, length int"
 
@@ -84,9 +84,9 @@ class Index:
         return self._totals
 
     def checkpointed(self) -> Index:
-        """The same index with its tables written once to the shared checkpoint folder."""
-        postings = cut(self.postings)
-        return Index(cut(self.docs), postings, self.config, self.k1, self.b, cut(term_stats(postings)), True)
+        """The same index with its tables written once below the shared folder."""
+        postings = written(self.postings)
+        return Index(cut(self.docs), postings, self.config, self.k1, self.b, written(term_stats(postings)), True)
 
 
 class DuplicateIds(ValueError):
@@ -159,6 +159,29 @@ def skip_pointers(postings: DataFrame) -> DataFrame:
     )
 
 
+# Segments -------------------------------------------------------------------------------
+
+
+def merged(one: Index, other: Index) -> Index:
+    """Both indexes as one, without analysing or rewriting anything: their documents are disjoint,
+    so tables are appended and frequencies added."""
+    terms = one.terms.unionByName(other.terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+    docs = one.docs.unionByName(other.docs, allowMissingColumns=True)
+    postings = one.postings.unionByName(other.postings)
+    return Index(docs, postings, one.config, one.k1, one.b, terms, one.written and other.written)
+
+
+def without(index: Index, ids: DataFrame, key: str = "doc_id") -> Index:
+    """The index without the documents in ``ids``: their rows are passed by, and what they counted
+    for is taken off the frequencies. Nothing is rewritten before the index is saved."""
+    gone = ids.select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    less = term_stats(index.postings.join(gone, "doc_id", "left_semi")).select("term", F.col("df").alias("_df"), F.col("ttf").alias("_ttf"))
+    left = lambda c: (F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    terms = index.terms.join(less, "term", "left").select("term", left("df"), left("ttf")).where("df > 0")
+    off = lambda t: t.join(gone, "doc_id", "left_anti")
+    return Index(off(index.docs), off(index.postings), index.config, index.k1, index.b, terms, index.written)
+
+
 # Views of one index ---------------------------------------------------------------------
 
 

@@ -63,7 +63,7 @@ def bag_search(
     """
     stems = query_stems(query, index.config)
     either = " or " in f" {query.lower()} "
-    stats = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg")).first()
+    stats = index.totals()
     n, average = F.lit(float(stats["n"])), F.lit(float(stats["avg"]))
     hits = index.postings.where(F.col("term").isin(stems) if stems else F.lit(False))
     if where is not None:

@@ -72,20 +72,26 @@ def cut(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, removed by ``release``."""
+    path = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table below the shared folder and read again: for tables that
     several jobs read, each other columns of. The tables stay until ``release`` or the end of
     the session's process."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
 def release() -> None:
-    """Remove the tables of ``written``; DataFrames that read them can't be used any more."""
+    """Remove the tables of ``written`` and ``scratch``; DataFrames that read them can't be used any more."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.operators.index import Index, corpus_stats, term_stats
-from textloom.plans.session import cut
 
 VERSION = 1
 SUFFIX = ".textloom"
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    target, fs = _file_system(spark, path)
+    out = fs.create(target, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
 
@@ -33,24 +33,53 @@ def save(index: Index, path: str) -> str:
     partitioned and sorted by term, so that a term's rows are found by the files' statistics
     while a frequent term may spread over files; ``stats`` and, last of all, the configuration
     file, without which nothing loads. Each save has a folder of its own, named in that file, so
-    readers see either the old or the new index."""
+    readers see either the old or the new index; the folder before the latest stays for readers that
+    have begun, older ones are removed."""
     spark = index.docs.sparkSession
-    import uuid
-
+    before = _runs(spark, path)
     run = uuid.uuid4().hex
     base = f"{path}/{run}"
     index.docs.write.parquet(f"{base}/docs")
-    # range partitioning reads its input twice, so the texts shouldn't be analysed for each
-    postings = index.postings if index.written else cut(index.postings)
+    postings = index.postings
+    if not index.written:
+        # range partitioning reads its input twice, so the texts shouldn't be analysed for each
+        postings.write.parquet(f"{base}/_unsorted")
+        postings = spark.read.schema(postings.schema).parquet(f"{base}/_unsorted")
     postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
-    stored = spark.read.parquet(f"{base}/postings")
-    term_stats(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
+    _remove(spark, f"{base}/_unsorted")
+    terms = term_stats(spark.read.parquet(f"{base}/postings"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
     corpus_stats(spark.read.parquet(f"{base}/docs"), spark.read.parquet(f"{base}/terms")).write.parquet(f"{base}/stats")
     header = {"version": VERSION, "data": run, "analyzer": index.config.to_dict(), "k1": index.k1, "b": index.b}
     _write_text(spark, f"{path}/index.json", json.dumps(header))
+    for old in before:  # the latest of these may still be read, also by the index that was saved
+        _remove(spark, f"{path}/{old}")
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of saves before the latest."""
+    target, fs = _file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    try:
+        latest = header(spark, path)["data"]
+    except ValueError:
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
+    return [n for n in names if n != latest and re.fullmatch("[0-9a-f]{32}", n)]
+
+
 def header(spark: SparkSession, path: str) -> dict:
     """Configuration and version of an index; ValueError where it is none or of another one."""
     try:
