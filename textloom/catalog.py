@@ -297,9 +297,9 @@ def skip_pointers(spark: SparkSession, d: str) -> DataFrame:
     return tables.skip_pointers(p)
 
 
-@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex ORDER BY term LIMIT 200")
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex ORDER BY term")
 def lexicon_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """Every term in order; the SQL beside it states the first 200 of these rows only."""
+    """Every term in order."""
     return tables.lexicon_sorted(_index(spark, d))
 
 
@@ -555,11 +555,11 @@ def varint_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02X%02X', o_orderkey % 128 + 128, o_orderkey // 128)
-ELSE printf('%02X%02X%02X', o_orderkey % 128 + 128, o_orderkey // 128 % 128 + 128, o_orderkey // 16384) END AS code FROM orders WHERE o_orderkey BETWEEN 0 AND 2097151"""
+    """WITH k AS (SELECT o_orderkey, o_orderkey & 4294967295 AS n FROM orders), g AS (SELECT *, list_transform([0, 7, 14, 21, 28], lambda i: (n >> i) & 127) AS p,
+  CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END AS size FROM k)
+SELECT o_orderkey, list_aggregate(list_transform(range(1, size + 1), lambda i: printf('%02X', p[i] + CASE WHEN i < size THEN 128 ELSE 0 END)), 'string_agg', '') AS code FROM g"""
 )
 def varint_encode(spark: SparkSession, d: str) -> DataFrame:
-    """Codes of all keys; the SQL beside it states those of one to three bytes."""
     return table(spark, d, "orders").select("o_orderkey", F.hex(codecs.encode_varint(F.col("o_orderkey"))).alias("code"))
 
 
@@ -626,9 +626,9 @@ def upsert_delete(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert(kept, changed)
 
 
-@_query("SELECT doc_id, row_number() OVER (ORDER BY path, doc_id)::BIGINT AS number FROM documents WHERE path IS NOT NULL")
+@_query("SELECT doc_id, row_number() OVER (ORDER BY path NULLS LAST, doc_id)::BIGINT AS number FROM documents")
 def number_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of all documents, those without a path last; the SQL beside it leaves these out."""
+    """Numbers of all documents, those without a path last."""
     docs = table(spark, d, "documents").select("doc_id", "path")
     return numbered(docs, [F.col("path").asc_nulls_last(), "doc_id"]).select("doc_id", "number")
 
