@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.plans.session import written
+
 
 def distinct_postings(postings: DataFrame) -> DataFrame:
     """One row ``(term, doc_id, tf)`` for each term of each record.
@@ -19,56 +21,60 @@ def distinct_postings(postings: DataFrame) -> DataFrame:
     )
 
 
+#: A term that holds this part of all postings or more is hot; there are at most so many as its inverse.
+HOT_SHARE = 0.001
+
+
 def ppmi(postings: DataFrame, records: DataFrame, exponent: float = 0.75) -> DataFrame:
     """Score every term of every record.
 
-    ``ppmi = max(0, ln(p(t, d) / (p(t) * p_s(d))))`` where ``p(t, d)`` and ``p(t)`` come from
-    the counts and the context's (record's) probability is smoothed to
-    ``n_d ** exponent / sum(n_d ** exponent)``, which keeps short records from taking all the
-    score. ``n_d`` is the record's ``length``, or the sum of its counts where that is null.
+    ``pmi = ln(p(t, d) / (p(t) * p_s(d)))`` where ``p(t, d)`` and ``p(t)`` come from the counts
+    and the context's (record's) probability is smoothed to ``n_d ** exponent / sum(n_d **
+    exponent)``, which keeps short records from taking all the score; ``ppmi = max(0, pmi)``.
+    ``n_d`` is the record's ``length``, or the sum of its counts where that is null.
+
+    Returns ``term, doc_id, tf, length, df, ttf, p_context, n_records, pmi, ppmi``, one row per
+    distinct posting; ``pmi`` is null and ``ppmi`` 0 where tf or length is 0. Records without postings
+    count in ``n_records``; repeated record rows count once. Empty tables give no rows.
 
-    Returns ``term, doc_id, tf, length, df, n_records, ppmi``, one row per distinct posting.
-    Records without postings count in ``n_records``; repeated record rows count once. Empty
-    tables give no rows. Joins are equi-joins on term and record, both sides pre-aggregated;
-    only three totals reach the driver.
+    Distinct postings are written once below the checkpoint folder and read by column. Group-bys and
+    equi-joins only; of the lexicon only hot terms are broadcast, of which there can be 1 / HOT_SHARE
+    at most, so no task holds all rows of a term; two totals reach the driver.
     """
-    counts = distinct_postings(postings)
+    counts = written(distinct_postings(postings))
     lengths = (
         records.where("doc_id is not null").groupBy("doc_id").agg(F.max("length").cast("long").alias("_stated"))
     )
     summed = counts.groupBy("doc_id").agg(F.sum("tf").alias("_sum"))
-    sizes = lengths.join(summed, "doc_id", "full").select(
-        "doc_id",
-        F.coalesce("_stated", "_sum").alias("length"),
-        F.col("_stated").isNotNull().alias("_has"),
-        "_sum",
-    )
-    n_records = lengths.count()
-    total, context = sizes.where("_sum is not null and length > 0").agg(
-        F.sum("_sum").cast("double"), F.sum(F.pow(F.col("length").cast("double"), F.lit(exponent)))
-    ).first()
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_ttf"))
+    sizes = written(
+        lengths.withColumn("_listed", F.lit(True)).join(summed.hint("merge"), "doc_id", "full")
+        .select("doc_id", F.coalesce("_stated", "_sum").alias("length"), "_sum", F.coalesce("_listed", F.lit(False)).alias("_listed"))
+    )
+    n_records, context = sizes.agg(
+        F.count_if("_listed"), F.sum(F.when(F.col("_sum").isNotNull() & (F.col("length") > 0), F.pow(F.col("length").cast("double"), F.lit(exponent)))),
+    ).first()
+    terms = written(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf")))
+    hot_from = max(1.0, HOT_SHARE * counts.count())
+    hot = terms.where(F.col("df") >= hot_from)
+    rare = terms.where(F.col("df") < hot_from)
+    by_term = (
+        counts.join(F.broadcast(hot), "term")
+        .unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare.hint("merge"), "term"))
+    )
     p_context = F.pow(F.col("length").cast("double"), F.lit(exponent)) / F.lit(context or 1.0)
-    ratio = F.col("tf") / F.col("_ttf") / p_context
-    return (
-        counts.join(terms, "term")
-        .join(sizes.select("doc_id", "length"), "doc_id")
-        .select(
-            "term",
-            "doc_id",
-            "tf",
-            "length",
-            "df",
-            F.lit(n_records).cast("long").alias("n_records"),
-            F.when((F.col("length") > 0) & (F.col("tf") > 0), F.greatest(F.lit(0.0), F.log(ratio)))
-            .otherwise(F.lit(0.0))
-            .alias("ppmi"),
-        )
-    )
+    scored = by_term.join(sizes.select("doc_id", "length").hint("merge"), "doc_id").withColumn("p_context", p_context)
+    pmi = F.when((F.col("length") > 0) & (F.col("tf") > 0), F.log(F.col("tf") / F.col("ttf") / F.col("p_context")))
+    return scored.select(
+        "term", "doc_id", "tf", "length", "df", "ttf", "p_context", F.lit(n_records).cast("long").alias("n_records"),
+        pmi.alias("pmi"), F.greatest(F.lit(0.0), F.coalesce(pmi, F.lit(0.0))).alias("ppmi"),
+    )
 
 
 def marking(scored: DataFrame, least: float = 0.25, least_df: int = 2) -> DataFrame:
-    """Terms that mark their record: relative frequency times ``ln(1 + N / df)`` of the scored
-    rows reaches ``least`` in terms held by ``least_df`` records or more."""
-    weight = F.col("tf") / F.col("length") * F.log(1 + F.col("n_records") / F.col("df"))
-    return scored.where((F.col("length") > 0) & (F.col("df") >= least_df) & (weight >= least)).select("doc_id", "term")
+    """Terms that mark their record: those whose score reaches what it would be if relative frequency
+    times ``ln(1 + N / df)`` were ``least``, in terms held by ``least_df`` records or more; rows at
+    the edge are checked by that product itself."""
+    rarity = F.log(1 + F.col("n_records") / F.col("df"))
+    level = F.log(least * F.col("length") / rarity / F.col("ttf") / F.col("p_context"))
+    marked = scored.where((F.col("length") > 0) & (F.col("df") >= least_df) & (F.col("pmi") >= level - 1e-9))
+    return marked.where(F.col("tf") / F.col("length") * rarity >= least).select("doc_id", "term")
