@@ -9,10 +9,10 @@ TEXTS = st.text(alphabet="ab. \n#-=<p>\\{}*é́,1_", max_size=400)
 @given(TEXTS, st.integers(1, 60), st.integers(0, 40), st.booleans())
 def test_pieces_cover_the_text(text, limit, overlap, word):
     out = split(text, limit, overlap, word)
-    used = min(overlap, limit // 2)
+    used = min(overlap, limit - 1)  # any overlap below the limit is kept
     assert out[0][0] == 0 and out[-1][1] == len(text)
     assert all(0 < b - a <= limit for a, b in out) or text == ""
-    assert all(c == b - used and d > b for (_, b), (c, d) in zip(out, out[1:]))
+    assert all(c == max(0, b - used) and d > b for (_, b), (c, d) in zip(out, out[1:]))
     assert (len(out) == 1) == (len(text) <= limit)
 
 
@@ -45,3 +45,12 @@ def test_rows(spark):
     assert cut.where("doc_id = 3").count() == 1 and cut.where("doc_id = 2 or doc_id is null").count() == 0
     assert cut.where("length(content) > 1000").count() == 0
     assert pieces(docs.limit(0), options).count() == 0 and pieces(docs, options.limit(0)).where("doc_id = 4").count() == 1
+
+
+def test_leftovers_merge_and_headings_go_on():
+    long = "One sentence of the text, and it goes on. " * 6
+    text = f"# Top\n\n{long}\n\nShort end.\n\n## Next\n\n{long}\n\n## Last\n\nTail.\n"
+    out = [text[a:b] for a, b in split(text, 120, 0)]
+    assert not any(p.strip() in ("# Top", "## Next", "## Last", "Short end.") for p in out)
+    assert not any(p.rstrip().endswith(("## Next", "## Last")) for p in out) and out[0].startswith("# Top\n\nOne")
+    assert [b - a for a, b in split("x" * 30, 10, 9)] == [10] * 21

@@ -35,6 +35,7 @@ class Node:
     end: int
     rank: int
     children: list[Node] = field(default_factory=list)
+    heading: bool = False
 
 
 def parse(text: str) -> Node:
@@ -68,7 +69,7 @@ def parse(text: str) -> Node:
             stack.pop()
         node = Node(start, end, rank)
         if rank < 20:
-            node.children.append(Node(start, end, 20))
+            node.children.append(Node(start, end, 20, heading=rank <= 6))
         stack[-1].children.append(node)
         if rank < 20:
             stack.append(node)
@@ -100,31 +101,56 @@ def _is_mark(c: str) -> bool:
 
 def pack(text: str, root: Node, limit: int, overlap: int, boundaries: list[re.Pattern[str]]) -> list[tuple[int, int]]:
     """Cuts of ``text`` as ``(start, end)`` in order, each of at most ``limit - overlap``
-    characters (the first of ``limit``). Sibling subtrees merge while they fit; only a node
-    that is too large by itself is descended into, last of all between its characters."""
+    characters (the first of ``limit``).
+
+    Sibling subtrees merge while they fit; only a node that is too large by itself is descended
+    into, last of all between its characters. A piece that is less than half full where a
+    descent begins or ends stays open, so what is left over merges with its neighbours. A
+    heading goes on with what follows it: it moves to the next piece if nothing else would
+    follow it, and what follows a piece that is a heading alone is descended into for its sake.
+    """
     out: list[tuple[int, int]] = []
-    state = {"open": False}
+    open_ = False
+    heading = -1  # where the heading begins that the open piece ends with
+
+    def room() -> int:
+        return limit if len(out) == 1 else limit - overlap
 
-    def put(a: int, b: int) -> None:
-        if out and state["open"] and b - out[-1][0] <= (limit if len(out) == 1 else limit - overlap):
+    def put(a: int, b: int, is_heading: bool = False) -> None:
+        nonlocal open_, heading
+        if out and open_ and b - out[-1][0] <= room():
             out[-1] = (out[-1][0], b)
+        elif open_ and out and heading > out[-1][0] and b - heading <= limit - overlap:
+            out[-1] = (out[-1][0], heading)
+            out.append((heading, b))
         else:
             out.append((a, b))
-        state["open"] = True
+            heading = -1
+        open_ = True
+        if is_heading:
+            heading = a if heading < 0 else heading
+        elif not text[a:b].isspace():
+            heading = -1
 
     def visit(node: Node, level: int) -> None:
-        size = limit - overlap if out else limit
-        if node.end - node.start <= size:
-            put(node.start, node.end)
+        nonlocal open_
+        fits = node.end - node.start <= (limit - overlap if out else limit)
+        alone = bool(out) and open_ and heading == out[-1][0] and node.end - heading > room()
+        if fits and not alone:
+            put(node.start, node.end, node.heading or (node.rank <= 6 and len(node.children) == 1))
             return
         children = node.children
         if not children:
             children, level = _parts(text, node, boundaries, level)
         if children:
-            state["open"] = False  # a node that is descended into starts afresh
-            for child in children:
-                visit(child, level)
-            state["open"] = False
+            for k in range(len(children) + 1):
+                if k in (0, len(children)) and out and heading < 0 and 2 * (out[-1][1] - out[-1][0]) >= room():
+                    open_ = False
+                if k < len(children):
+                    visit(children[k], level)
+            return
+        if fits:
+            put(node.start, node.end)
             return
         a = node.start
         while a < node.end:
@@ -132,7 +158,6 @@ def pack(text: str, root: Node, limit: int, overlap: int, boundaries: list[re.Pa
             while b < node.end and b > a + 1 and _is_mark(text[b]):
                 b -= 1
             put(a, b)
-            state["open"] = False
             a = b
 
     visit(root, 0)
@@ -143,12 +168,13 @@ def split(text: str, limit: int, overlap: int, word: bool = False) -> list[tuple
     """``(start, end)`` of the pieces of a text, or of one unbroken word.
 
     Every piece has at most ``limit`` characters; each but the first starts exactly ``overlap``
-    characters before the end of the one before it, so pieces without their overlap join to
-    the text. A text within the limit is one piece, the empty one too. An overlap that leaves
-    less than half of the limit is lowered to half of it, so that pieces always move on.
+    characters before the end of the one before it (at the text's beginning where that has
+    fewer), so pieces without their overlap join to the text. A text within the limit is one
+    piece, the empty one too. Any overlap below the limit is kept; a larger one, with which no
+    piece could move on, is lowered to one character less than the limit.
     """
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     if len(text) <= limit:
         return [(0, len(text))]
     if word:
@@ -156,8 +182,8 @@ def split(text: str, limit: int, overlap: int, word: bool = False) -> list[tuple
     else:
         root = parse(text)
         _close(root)
-        cuts = pack(text, root, limit, overlap, _WITHIN)
-    return [(a - overlap if a else 0, b) for a, b in cuts]
+        cuts = pack(text, root, limit, overlap, [*_WITHIN, *_INSIDE])
+    return [(max(0, a - overlap), b) for a, b in cuts]
 
 
 def _long_words(text: str, most: int, known: dict[int, re.Pattern[str]]) -> Iterator[re.Match[str]]:
