@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from textloom.engine import SearchEngine
 from textloom.plans.search import stop_words_only
@@ -28,7 +27,7 @@ def main(args: list[str]) -> int:
         storage.read_stats(spark, rest[0] if rest else storage.find_index() or "").show(truncate=False)
     elif verb == "watch":
         run = lambda: SearchEngine(spark, rest[1]).index_folder(rest[0]).commit()
-        log.watch(spark, rest[0], tempfile.mkdtemp(), run, 1.0).awaitTermination()
+        log.watch(spark, rest[0], f"{rest[1]}.watch", run, 1.0).awaitTermination()
     else:  # search, or a bare query over the newest index here
         path, words = (rest[0], rest[1:]) if verb == "search" else (storage.find_index() or "", args)
         found = SearchEngine.load(spark, path).search(" ".join(words))

@@ -108,14 +108,16 @@ def strip_html_bodies(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", analysis.strip_html(F.col("body")).alias("plain"))
 
 
-_HTML_SQL = r"""WITH b AS (SELECT DISTINCT doc_id, title, body AS c FROM indexable_docs WHERE body IS NOT NULL),
-t AS (SELECT doc_id, title, c, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
- c, '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?i)<(h[1-6]|section)[^>]*>', E'\n\n### ', 'g'),
- '(?i)<li[^>]*>', E'\n• ', 'g'), '(?i)<(p|div|article|tr|table|header|footer|blockquote)[^>]*>', E'\n', 'g'), '<[^>]+>', ' ', 'g'),
- '[ \t\r\f\v]*\n[ \t\r\f\v]*', E'\n', 'g') AS x FROM b),
-u AS (SELECT *, regexp_replace(regexp_replace(x, '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS y FROM t)
-SELECT doc_id, CASE WHEN trim(regexp_extract(c, '(?is)<title[^>]*>([^<]+)</title>', 1)) <> '' THEN trim(regexp_extract(c, '(?is)<title[^>]*>([^<]+)</title>', 1)) ELSE title END AS title,
- CASE WHEN y <> '' THEN y ELSE c END AS readable FROM u"""
+_LEFT = "CASE " + " ".join(
+    f"WHEN regexp_matches(x, '(?i)^<({'|'.join(names.split())})[^>]*>') THEN '{left}'" for left, names in files.ELEMENT_LEAVES.items()
+) + " WHEN regexp_matches(x, '(?i)^<(style|script)[^>]*>') THEN '' ELSE x END"
+_HTML_SQL = rf"""WITH b AS (SELECT DISTINCT doc_id, title, body AS c FROM indexable_docs WHERE body IS NOT NULL),
+t AS (SELECT *, array_to_string(list_transform(regexp_extract_all(c, '{files.HTML_PIECES}'), lambda x: {_LEFT}), '') AS x FROM b),
+u AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(x, '<[^>]+>', ' ', 'g'), chr(10)),
+  lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)) AS l FROM t),
+v AS (SELECT *, regexp_replace(regexp_replace(l, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS y FROM u)
+SELECT doc_id, coalesce(nullif(trim(regexp_extract(c, '{files.PAGE_TITLE}', 1)), ''), title) AS title,
+ CASE WHEN y <> '' THEN y ELSE c END AS readable FROM v"""
 
 
 @_query(_HTML_SQL)

@@ -19,19 +19,19 @@ your yours yourself yourselves
 """.split()
 )
 
-# Suffixes of the second, third and fourth step, in the order they are tried.
-_SECOND = """ational=ate tional=tion enci=ence anci=ance izer=ize bli=ble alli=al entli=ent eli=e ousli=ous ization=ize
-ation=ate ator=ate alism=al iveness=ive fulness=ful ousness=ous aliti=al iviti=ive biliti=ble"""
-_THIRD = "icate=ic ative= alize=al iciti=ic ical=ic ful= ness="
-_FOURTH = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
-
-
-def _rules(text: str) -> list[tuple[str, str]]:
-    return [(a, b) for a, _, b in (x.partition("=") for x in text.split())]
-
-
-_STEPS = [(_rules(_SECOND), 1), (_rules(_THIRD), 1), (_rules(_FOURTH), 2)]
-
+# Suffixes of the second, third and fourth step with what takes their place, in the order they are tried.
+SECOND = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+THIRD = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+FOURTH = [
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""), ("able", ""), ("ible", ""), ("ant", ""), ("ement", ""), ("ment", ""),
+    ("ent", ""), ("ou", ""), ("ism", ""), ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""),
+]
+#: The rules of each step, and the least measure of what they leave.
+STEPS = [(SECOND, 1), (THIRD, 1), (FOURTH, 2)]
 
 def shape(word: str) -> str:
     """'v' for each vowel of the word and 'c' for everything else; y is a vowel after a 'c'."""
@@ -84,7 +84,7 @@ def stem(word: str) -> str:
     w = _past(_plural(word.lower()))
     if w.endswith("y") and "v" in shape(w[:-1]):
         w = w[:-1] + "i"
-    for rules, least in _STEPS:
+    for rules, least in STEPS:
         hit = next(((a, b) for a, b in rules if w.endswith(a)), None)
         if hit and _measure(w[: len(w) - len(hit[0])]) >= least:
             w = w[: len(w) - len(hit[0])] + hit[1]

@@ -22,8 +22,25 @@ LARGEST = 20 * 1024 * 1024
 _PARTS = re.compile(r"ppt/slides/slide\d+\.xml|word/document\.xml")
 
 
+# What an element's opening tag leaves in readable text; a name stands for all that begin with it.
+ELEMENT_LEAVES = {
+    "\n\n### ": "h1 h2 h3 h4 h5 h6 section",
+    "\n• ": "li",
+    "\n": "p div article tr table header footer blockquote",
+}
+# Elements that leave nothing with all they hold; any other tag leaves a space.
+ELEMENTS_DROPPED = ("style", "script")
+# Fixed value: the title of a page.
+PAGE_TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
+
+_LEAVES = {name: left for left, names in ELEMENT_LEAVES.items() for name in names.split()}
+_DROPPED = "|".join(f"<{n}[^>]*>.*?</{n}>" for n in ELEMENTS_DROPPED)
+#: A text in pieces: dropped elements, tags that leave something, text, and signs that begin neither.
+HTML_PIECES = f"(?is){_DROPPED}|<(?:{'|'.join(_LEAVES)})[^>]*>|[^<]+|<"
+
+
 def html_title(content: Column, otherwise: Column) -> Column:
-    title = F.trim(F.regexp_extract(content, r"(?is)<title[^>]*>([^<]+)</title>", 1))
+    title = F.trim(F.regexp_extract(content, PAGE_TITLE, 1))
     return F.when(title != "", title).otherwise(otherwise)
 
 
@@ -31,17 +48,19 @@ def html_text(content: Column) -> Column:
     """HTML as readable text: no styles and scripts; headings and sections begin with ``###``,
     list items with a bullet, blocks on a line of their own; other tags become a space. Lines
     are trimmed and runs of blank ones shortened. Where nothing is left the content stays."""
-    c = F.regexp_replace(content, r"(?is)<style[^>]*>.*?</style>", "")
-    c = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", "")
-    c = F.regexp_replace(c, r"(?i)<(h[1-6]|section)[^>]*>", "\n\n### ")
-    c = F.regexp_replace(c, r"(?i)<li[^>]*>", "\n• ")
-    c = F.regexp_replace(c, r"(?i)<(p|div|article|tr|table|header|footer|blockquote)[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    # blanks around line breaks, then all blank lines after the first of a run
-    c = F.regexp_replace(c, r"[^\S\n]*\n[^\S\n]*", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(c != "", c).otherwise(content)
+    leaves = F.create_map(*(F.lit(x) for pair in _LEAVES.items() for x in pair))
+    dropped = F.concat(*(F.lit(f"|{n}|") for n in ELEMENTS_DROPPED))
+
+    def left(piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, rf"(?i)^<({'|'.join(ELEMENTS_DROPPED)}|{'|'.join(_LEAVES)})[^>]*>", 1))
+        gone = dropped.contains(F.concat(F.lit("|"), name, F.lit("|")))
+        return F.when(name == "", piece).when(gone, "").otherwise(leaves[name])
+
+    pieces = F.transform(F.regexp_extract_all(content, F.lit(HTML_PIECES), F.lit(0)), left)
+    lines = F.split(F.regexp_replace(F.array_join(pieces, ""), "<[^>]+>", " "), "\n")
+    text = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    return F.when(text != "", text).otherwise(content)
 
 
 def office_text(data: bytes) -> str:
@@ -96,24 +115,40 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_DOC.names)
 
 
+def _paths(spark: SparkSession, root: str, largest: int) -> list[str]:
+    """Files below ``root`` that are to be read, found by names and sizes alone; folders that are
+    passed by aren't listed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    endings = (*TEXT_ENDINGS, ".json", ".pptx", ".docx")
+    folders, found = [path(root)], []
+    while folders:
+        for entry in fs.listStatus(folders.pop()):
+            name = entry.getPath().getName()
+            if name.startswith("."):
+                continue
+            if entry.isDirectory():
+                if name not in IGNORED_FOLDERS:
+                    folders.append(entry.getPath())
+            elif name.lower().endswith(endings) and entry.getLen() <= largest:
+                found.append(entry.getPath().toString())
+    return found
+
+
 def read_folder(spark: SparkSession, folder: str, largest: int = LARGEST) -> DataFrame:
     """``path, item, own_id, title, body, text, extra`` of the documents below a folder.
 
     Entries that begin with a dot, IGNORED_FOLDERS, files above ``largest`` bytes and other
     endings are passed by, files with NUL bytes too. The title is the path from the folder on.
-    Paths, endings and sizes are filtered before contents are read.
+    Names and sizes are listed by the driver, as for any table of files; contents are read by
+    the executors, and only those of the files that are kept.
     """
     root = re.sub(r"/+$", "", folder)
+    found = _paths(spark, root, largest)
+    if not found:
+        return spark.createDataFrame([], _DOC)
     relative = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", root)) + "/", "")
-    hidden = r"(^|/)(\.|(" + "|".join(IGNORED_FOLDERS) + ")/)"
-    endings = "|".join(re.escape(e[1:]) for e in [*TEXT_ENDINGS, ".json", ".pptx", ".docx"])
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .where(F.col("length") <= largest)
-        .select(relative.alias("path"), "content")
-        .where(~F.col("path").rlike(hidden) & F.lower("path").rlike(rf"\.({endings})$"))
-    )
-    return files.mapInPandas(_read, _DOC)
+    return spark.read.format("binaryFile").load(found).select(relative.alias("path"), "content").mapInPandas(_read, _DOC)
 
 
 def with_ids(docs: DataFrame, first: int = 1) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.operators.index import Index, build_index, term_stats
+from textloom.plans.session import cut
+from textloom.sources.storage import save
 
 SCHEMA = "sequenceNumber long, timestamp long, type string, payload struct<id: long, title: string, body: string, text: string>"
 
@@ -59,40 +61,53 @@ def checkpoint(spark: SparkSession, folder: str) -> None:
     fs.mkdirs(path)
 
 
-def _ingest(spark: SparkSession, batch: DataFrame, target: str, config: AnalyzerConfig) -> None:
-    """Append the batch's new documents to ``docs`` and ``postings``. Whatever the index holds
-    already is left out, so a batch that comes again after a failure adds nothing twice: its
-    postings are written before its documents, and replaced where the documents are missing."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/docs/_SUCCESS")
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    held = spark.read.parquet(f"{target}/docs") if exists else None
-    fresh = replay(batch.withColumn("place", F.monotonically_increasing_id()), held)
-    index = build_index(fresh, config, check=False).checkpointed()
-    index.postings.write.mode("append").parquet(f"{target}/postings")
-    index.docs.write.mode("append").parquet(f"{target}/docs")
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _ingest(spark: SparkSession, batch: DataFrame, number: int, target: str, config: AnalyzerConfig) -> None:
+    """Write the batch's new documents as one folder each of ``postings``, ``terms`` and ``docs``,
+    named by the batch. A batch that comes again after a failure writes the same folders over
+    again; the folder of its documents comes last and makes it count."""
+    held = None
+    if _exists(spark, f"{target}/docs"):
+        held = spark.read.parquet(f"{target}/docs").where(F.col("batch") != number).select("doc_id")
+    fresh = cut(replay(batch.withColumn("place", F.monotonically_increasing_id()), held))
+    index = build_index(fresh, config, check=False)
+    for name, rows in (("postings", index.postings), ("terms", None), ("docs", index.docs)):
+        rows = term_stats(spark.read.parquet(f"{target}/postings/batch={number}")) if rows is None else rows
+        rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
 
 def ingest_stream(spark: SparkSession, folder: str, target: str, checkpoint_folder: str, config: AnalyzerConfig | None = None):
     """Start a stream that indexes the log folder's new lines; a document is found as soon as
-    its batch is written. Document frequencies, counts and averages are worked out at query
-    time, never stored with postings, as each new document moves them for all."""
+    its batch is written. Counts and averages are worked out at query time and the frequencies
+    of each batch are only added up, as each new document moves them for all."""
     config = config or AnalyzerConfig()
     lines = spark.readStream.schema(SCHEMA).json(folder)
     return (
         lines.writeStream.option("checkpointLocation", checkpoint_folder)
-        .foreachBatch(lambda batch, _: _ingest(batch.sparkSession, batch, target, config))
+        .foreachBatch(lambda batch, number: _ingest(batch.sparkSession, batch, number, target, config))
         .trigger(availableNow=True)
         .start()
     )
 
 
 def live_index(spark: SparkSession, target: str, config: AnalyzerConfig | None = None) -> Index:
-    """The index as far as the stream has come. Postings of documents that aren't there (a
-    batch that failed half-way) don't count, and repeated ones count once."""
+    """The index as far as the stream has come. Batches whose documents weren't written (one that
+    failed half-way) don't count; they are told by their folders, so postings are neither joined
+    nor shuffled. Each batch is a segment; ``compact`` makes one of all."""
     docs = spark.read.parquet(f"{target}/docs")
-    postings = spark.read.parquet(f"{target}/postings").join(docs.select("doc_id"), "doc_id", "left_semi")
-    once = postings.dropDuplicates(["term", "doc_id"]).select("term", "doc_id", "tf", "positions", "length")
-    return Index(docs, once, config or AnalyzerConfig(), lexicon=term_stats(once))
+    batches = [r[0] for r in docs.select("batch").distinct().collect()]  # folders, not documents
+    part = lambda name: spark.read.parquet(f"{target}/{name}").where(F.col("batch").isin(batches)).drop("batch")
+    terms = part("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+    return Index(docs.drop("batch"), part("postings"), config or AnalyzerConfig(), lexicon=terms, written=True)
+
+
+def compact(spark: SparkSession, target: str, path: str, config: AnalyzerConfig | None = None) -> str:
+    """Save what the stream has written so far as one index below ``path``."""
+    return save(live_index(spark, target, config), path)
 
 
 def watch(spark: SparkSession, folder: str, checkpoint_folder: str, rebuild, seconds: float | None = None):
