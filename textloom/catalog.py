@@ -6,10 +6,14 @@ this stemmer; the stemmed paths are tested with fixed pairs and run here without
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.engine import SearchEngine
 from textloom.functions import analysis, codecs
 from textloom.functions.analysis import AnalyzerConfig
 from textloom.functions.register import register
@@ -20,6 +24,7 @@ from textloom.plans import search as plans
 from textloom.plans.language import Phrase
 from textloom.plans.session import scratch, spread, table
 from textloom.sources import files, storage
+from textloom.stems_sql import stems
 from textloom.streaming import log
 
 PLAIN = AnalyzerConfig(stemming=False)
@@ -64,6 +69,7 @@ def _index(spark: SparkSession, d: str, config: AnalyzerConfig = PLAIN) -> table
 # SQL building blocks --------------------------------------------------------------------
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in sorted(STOP_WORDS)) + ")"
+_BAG_STOP = "(" + ", ".join(f"'{w}'" for w in sorted(variants.BAG_STOP_WORDS)) + ")"
 #: Compatibility forms in the texts that ``strip_accents`` leaves: the lunate sigma and two spaces.
 _FOLD = "lower(strip_accents(translate(text, 'ϲ' || chr(160) || chr(8195), 'ς  ')))"
 _WORDS = rf"""w0 AS (SELECT doc_id, coalesce({_FOLD}, '') AS f FROM documents WHERE doc_id IS NOT NULL),
@@ -79,6 +85,15 @@ lex AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM post GR
 st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS a FROM len)"""
 
 
+_STEMMED = f"""{_TOKENS}, {stems("(SELECT term AS word FROM tok)")}"""
+#: Tables of the stemmed index, as those of the plain one.
+_STEM_TABLES = f"""{_STEMMED}, stok AS (SELECT t.doc_id, s.stem AS term, t.position FROM tok t JOIN stems s ON s.word = t.term),
+post AS (SELECT term, doc_id, count(*)::INT AS tf, list(position ORDER BY position) AS positions FROM stok GROUP BY term, doc_id),
+len AS (SELECT d.doc_id, coalesce(t.n, 0)::INT AS length FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM stok GROUP BY doc_id) t USING (doc_id)),
+lex AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM post GROUP BY term),
+st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS a FROM len)"""
+
+
 def _bm25_sql(terms: str, k1: float = 1.2, b: float = 0.75) -> str:
     """``s(doc_id, score)``: summed BM25 of ``terms``, a subquery (term, weight)."""
     return f"""s AS (SELECT p.doc_id, sum(q.weight * ln((st.n - x.df + 0.5) / (x.df + 0.5) + 1) * (p.tf * ({k1} + 1)) /
@@ -140,14 +155,21 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT doc_id, fold(text) AS folded FROM {docs} WHERE text IS NOT NULL", docs=_documents(spark, d))
 
 
-@_query()
+@_query(f"WITH {_TOKENS} SELECT doc_id, term, position FROM tok")
 def tokenize_table_function(spark: SparkSession, d: str) -> DataFrame:
     register(spark, PLAIN)
     sql = "SELECT d.doc_id, t.term, t.position FROM {docs} d, LATERAL tokenize(d.text) t"
     return spark.sql(sql, docs=_documents(spark, d))
 
 
-@_query()
+@_query(
+    rf"""WITH n AS (SELECT doc_id, lower(array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'),
+  lambda c: CASE WHEN c = 'ϲ' THEN 'ς' WHEN strip_accents(c) <> c THEN strip_accents(c) || ' ' ELSE c END), '')) AS f FROM documents),
+b AS (SELECT doc_id, list_filter(regexp_extract_all(f, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN {_BAG_STOP}) AS w FROM n),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM b), {stems("u")}
+SELECT n.doc_id, coalesce(l.stems, []) AS stems FROM n LEFT JOIN (SELECT doc_id, list(stem ORDER BY k) AS stems FROM u JOIN stems USING (word) GROUP BY doc_id) l
+  ON l.doc_id = n.doc_id"""
+)
 def bag_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Stems of the bag modes: marks part words, single characters are dropped."""
     return _documents(spark, d).select("doc_id", variants.bag_tokens(F.col("text"), 2).alias("stems"))
@@ -209,34 +231,61 @@ def stopword_filter_off(spark: SparkSession, d: str) -> DataFrame:
     return _counted(spark, d, AnalyzerConfig.of(stemming=False, stop_words=False))
 
 
-@_query()
+@_query(f"WITH {_STEMMED} SELECT word, stem FROM stems")
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     words = _documents(spark, d).select(F.explode(analysis.tokens(F.col("text"), PLAIN)).alias("word")).distinct()
     return words.select("word", analysis.stem_word(F.col("word")).alias("stem"))
 
 
-@_query()
+@_query(
+    f"""WITH g AS (SELECT term_id, lower(strip_accents(term)) AS word FROM glossary), {stems("g")}
+SELECT term_id, stem AS form FROM g JOIN stems USING (word)"""
+)
 def normalize_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "glossary").select("term_id", "term")
     return terms.select("term_id", analysis.stem_word(F.lower(analysis.strip_diacritics(F.col("term")))).alias("form"))
 
 
-@_query()
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+
+
+@_query(
+    rf"""WITH r AS (SELECT DISTINCT doc_id, options_id, CASE WHEN text IS NOT NULL THEN text WHEN coalesce(title, '') <> '' OR coalesce(body, '') <> ''
+  THEN concat_ws(' ', nullif(title, ''), nullif(body, '')) ELSE concat_ws(' ', title, body, text) END AS c FROM indexable_docs WHERE doc_id IS NOT NULL),
+o AS (SELECT r.*, coalesce(a.lowercase, TRUE) AS low, coalesce(a.strip_html, FALSE) AS tags, coalesce(a.strip_diacritics, TRUE) AS marks,
+  coalesce(a.stop_words, 'default') AS stop, coalesce(a.min_token_length, 1) AS least, coalesce(a.max_token_length, 64) AS most FROM r LEFT JOIN analyzer_options a USING (options_id)),
+h AS (SELECT *, CASE WHEN tags THEN regexp_replace(c, '<[^>]*>', ' ', 'g') ELSE c END AS h FROM o),
+m AS (SELECT *, CASE WHEN marks THEN strip_accents(replace(replace(replace(translate(h, 'ϲ{_WIDE}', 'ς{_NARROW}'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl')) ELSE h END AS m FROM h),
+f AS (SELECT *, CASE WHEN low THEN lower(m) ELSE m END AS f FROM m),
+w AS (SELECT *, list_filter(regexp_extract_all(f, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) BETWEEN least AND most) AS w FROM f)
+SELECT doc_id, options_id, len(CASE WHEN stop IN ('none', 'off') THEN w WHEN stop = 'default' THEN list_filter(w, lambda x: x NOT IN {_STOP})
+  ELSE list_filter(w, lambda x: NOT list_contains(regexp_extract_all(lower(stop), '[^\s,;|]+'), x)) END)::INT AS n FROM w"""
+)
 def analyze_by_options(spark: SparkSession, d: str) -> DataFrame:
-    """Token counts of each record under the options that it names; one branch per options row
-    (a fixed table of a few), all over one scan."""
-    options = {r["options_id"]: r for r in table(spark, d, "analyzer_options").collect()}
-    records = table(spark, d, "indexable_docs").select("doc_id", "title", "body", "text", "options_id").dropDuplicates(["doc_id"])
+    """Token counts of each record under the options that it names, or the defaults where it names
+    none or unknown ones; one branch per options row (a table of settings), all over one scan.
+    ``stop_words`` is 'default', 'off' or a list of words."""
+    known = table(spark, d, "analyzer_options").where("options_id is not null").dropDuplicates(["options_id"]).limit(_MOST_OPTIONS + 1).collect()
+    if len(known) > _MOST_OPTIONS:
+        raise ValueError(f"more than {_MOST_OPTIONS} rows of options")
+    records = table(spark, d, "indexable_docs").select("doc_id", "title", "body", "text", "options_id").where("doc_id is not null").dropDuplicates(["doc_id"])
     text = analysis.text_of([("title", "string"), ("body", "string"), ("text", "string")])
-    out = None
-    for i, o in options.items():
+    parts = [(F.coalesce(~F.col("options_id").isin([o["options_id"] for o in known]), F.lit(True)), AnalyzerConfig())]
+    for o in known:
+        stop = o["stop_words"] or "default"
+        words = stop == "default" if stop in ("default", "none", "off") else frozenset(w for w in re.split(r"[\s,;|]+", stop.lower()) if w)
         config = AnalyzerConfig(
-            o["lowercase"], o["strip_html"], o["strip_diacritics"], o["stop_words"] == "default", o["stemming"],
-            o["min_token_length"], o["max_token_length"] or 64,
+            o["lowercase"] is not False, bool(o["strip_html"]), o["strip_diacritics"] is not False, words, bool(o["stemming"]),
+            1 if o["min_token_length"] is None else o["min_token_length"], 64 if o["max_token_length"] is None else o["max_token_length"],
         )
-        part = records.where(F.col("options_id") == i).select("doc_id", "options_id", F.size(analysis.tokens(text, config)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append((F.col("options_id") == o["options_id"], config))
+    each = [records.where(c).select("doc_id", "options_id", F.size(analysis.tokens(text, replace(x, stemming=False))).alias("n")) for c, x in parts]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: Most rows of the options table that plans are made for.
+_MOST_OPTIONS = 1000
 
 
 @_query("SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), nullif(p_type, '')) AS content FROM part")
@@ -515,6 +564,27 @@ def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
     return plans.search(index, 'segments AND "posting lists" OR compac*', limit=20, digits=6)
 
 
+@_query(
+    f"""WITH {_STEM_TABLES}, {_bm25_sql(_terms_sql("segment", "post", "list"))},
+ph AS (SELECT DISTINCT a.doc_id FROM stok a JOIN stok b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'post' AND b.term = 'list')
+{_top_sql("list_contains(found, 'segment') AND doc_id IN (SELECT doc_id FROM ph)")}"""
+)
+def stemmed_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _found(_index(spark, d, AnalyzerConfig()), 'segments AND "posting lists"')
+
+
+@_query(f"WITH {_STEM_TABLES} SELECT term, df, ttf FROM lex")
+def stemmed_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon alone of a saved index."""
+    return _index(spark, d, AnalyzerConfig()).terms
+
+
+@_query(f"WITH {_STEM_TABLES} SELECT DISTINCT doc_id FROM post WHERE term = 'compact'")
+def stop_word_in_boolean(spark: SparkSession, d: str) -> DataFrame:
+    """A stop word isn't in the lexicon, so OR finds what the other word finds."""
+    return plans.matching(_index(spark, d, AnalyzerConfig()), "the OR compacting", fuzzy=False)
+
+
 @_query()
 def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
     return plans.search(_index(spark, d), "segment AND index", limit=20, digits=6).select("doc_id", "snippet")
@@ -577,6 +647,94 @@ def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
     return storage.compression(_index(spark, d))
 
 
+@_query(f"WITH {_TABLES} SELECT doc_id, tf, positions FROM post WHERE term = 'bitmap'")
+def saved_term(spark: SparkSession, d: str) -> DataFrame:
+    """Save an index, commit it by its configuration file, and read one term's postings alone."""
+    built = tables.build_index(_documents(spark, d), PLAIN, text=F.col("text"), check=False)
+    return storage.read_term(spark, storage.save(built, scratch(spark)), "bitmap").select("doc_id", "tf", "positions")
+
+
+@_query(
+    f"""WITH {_TABLES} SELECT (SELECT count(*) FROM len)::BIGINT AS total_documents, (SELECT count(*) FROM lex)::BIGINT AS total_terms,
+(SELECT sum(length) FROM len)::BIGINT AS total_tokens, (SELECT round(avg(length), 6) FROM len) AS average_doc_length"""
+)
+def saved_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics row alone of an index that an engine has committed."""
+    path = SearchEngine(spark, scratch(spark), stemming=False).add_documents(_documents(spark, d)).commit()
+    return storage.read_stats(spark, path).withColumn("average_doc_length", F.round("average_doc_length", 6))
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex")
+def saved_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    path = storage.save(tables.build_index(_documents(spark, d), PLAIN, text=F.col("text"), check=False), scratch(spark))
+    return storage.read_lexicon(spark, path)
+
+
+@_query(f"WITH {_TABLES} SELECT doc_id, text, length FROM len JOIN documents USING (doc_id)")
+def loaded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Stored documents of an index that was saved and loaded."""
+    return tables.all_documents(_index(spark, d)).select("doc_id", "text", "length")
+
+
+@_query(
+    """SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'replaced' ELSE text END AS text, title, body FROM indexable_docs
+WHERE doc_id IS NOT NULL AND doc_id % 5 <> 0"""
+)
+def engine_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of an engine after a batch, a replacement and a deletion, each a segment."""
+    docs = _records(spark, d).select("doc_id", "title", "body", "text")
+    engine = SearchEngine(spark).add_documents(docs)
+    engine.index
+    engine.upsert(docs.where("doc_id % 2 = 0").withColumn("text", F.lit("replaced"))).delete(docs.where("doc_id % 5 = 0"))
+    return engine.documents().select("doc_id", "text", "title", "body")
+
+
+@_query("SELECT DISTINCT doc_id, title, body, text FROM indexable_docs WHERE doc_id IS NOT NULL")
+def log_file_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Records written to the log twice and read again from its files: each comes once."""
+    folder, docs = scratch(spark), _records(spark, d)
+    log.append(docs, folder)
+    log.append(docs.select("doc_id", F.lit("later").alias("title")), folder)
+    return log.replay(log.read(spark, folder)).select("doc_id", "title", "body", "text")
+
+
+@_query("SELECT count(*) AS entries FROM documents WHERE false")
+def log_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Nothing is left to replay once the log was emptied."""
+    folder = scratch(spark)
+    log.append(_documents(spark, d), folder)
+    log.checkpoint(spark, folder)
+    return log.read(spark, folder).agg(F.count("*").alias("entries"))
+
+
+@_query(f"WITH {_TABLES} SELECT term, df, ttf FROM lex")
+def streamed_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon after two batches of the log came through the stream."""
+    folder, target, state = scratch(spark), scratch(spark), scratch(spark)
+    for rest in (0, 1):
+        log.append(_documents(spark, d).where((F.col("doc_id") % 2 == rest) & F.col("text").isNotNull()), folder)
+        log.ingest_stream(spark, folder, target, state, PLAIN).awaitTermination()
+    return log.live_index(spark, target, PLAIN).terms
+
+
+@_query("SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS doc_id, doc_id || '.md' AS title, coalesce(text, '') AS body FROM documents")
+def uploaded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts uploaded as files; ids count on in the order of the names, here of equal length."""
+    docs = _documents(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "text", "doc_id")
+    out = files.uploaded(docs.select(F.concat("name", F.lit(".md")).alias("name"), F.col("text").alias("content")))
+    return out.select("doc_id", F.ltrim("title", F.lit("0")).alias("title"), "body")
+
+
+@_query("SELECT row_number() OVER (ORDER BY event_id)::BIGINT AS doc_id, lpad(event_id::VARCHAR, 12, '0') || '.json' AS title, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL")
+def uploaded_json(spark: SparkSession, d: str) -> DataFrame:
+    """JSON objects uploaded as files; keys that are no field of a document are kept as extra."""
+    docs = table(spark, d, "events").where("props is not null").select(
+        F.concat(F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit(".json")).alias("name"), F.col("props").alias("content")
+    )
+    out = files.uploaded(docs)
+    return out.select("doc_id", F.col("path").alias("title"), F.get_json_object("extra", "$.k").alias("k"))
+
+
 # The log, updates -----------------------------------------------------------------------
 
 
@@ -679,22 +837,44 @@ def window_snippet(spark: SparkSession, d: str) -> DataFrame:
     return variants.window_snippets(_documents(spark, d), "cipher bitmap", body="text", config=PLAIN)
 
 
-@_query()
+@_query(
+    rf"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS shown, generate_subscripts(p, 1) AS k FROM p), w AS (SELECT *, lower(shown) AS word FROM u), {stems("w")},
+m AS (SELECT doc_id, string_agg(CASE WHEN stem IN ('segment', 'indic') THEN '<mark>' || shown || '</mark>' ELSE shown END, '' ORDER BY k) AS marked FROM w JOIN stems USING (word) GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN p.text IS NOT NULL THEN coalesce(m.marked, '') END AS marked FROM p LEFT JOIN m USING (doc_id)"""
+)
 def highlight_by_stem(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", variants.highlight_stems(F.col("text"), ["segment", "indic"]).alias("marked"))
 
 
-@_query()
+@_query(
+    rf"""WITH r AS (SELECT DISTINCT doc_id, body FROM indexable_docs WHERE doc_id IS NOT NULL AND body IS NOT NULL),
+l AS (SELECT doc_id, regexp_replace(unnest(string_split(body, chr(10))), '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g') AS raw, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line FROM r),
+h AS (SELECT *, CASE WHEN regexp_matches(raw, '^#{{1,6}}\s+') THEN regexp_replace(raw, '^#{{1,6}}\s+', '') END AS h FROM l WHERE raw <> ''),
+s AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING), 'Document Overview') AS section FROM h),
+w AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}]+')) AS word FROM s WHERE h IS NULL), {stems("w")},
+m AS (SELECT DISTINCT doc_id, line FROM w JOIN stems USING (word) WHERE word IN ('segment', 'index') OR stem IN ('segment', 'index'))
+SELECT doc_id, line::INT AS line, section, regexp_matches(raw, '^(• |[-*+]\s+)') AS is_bullet, regexp_replace(raw, '^(•|[-*+])\s+', '') AS excerpt FROM s JOIN m USING (doc_id, line)"""
+)
 def section_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return variants.section_excerpts(_records(spark, d), "segment index")
 
 
-@_query()
+@_query(
+    r"""WITH r AS (SELECT DISTINCT doc_id, title, body FROM indexable_docs WHERE doc_id IS NOT NULL AND body IS NOT NULL),
+p AS (SELECT doc_id, title, list_filter(list_transform(string_split_regex(body, '\r?\n---\r?\n'), lambda x: regexp_replace(x, '^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g')), lambda x: length(x) > 0) AS p FROM r),
+e AS (SELECT doc_id, title, unnest(p) AS body, generate_subscripts(p, 1) AS part FROM p), h AS (SELECT *, regexp_replace(regexp_extract(body, '^#+\s*([^\n]+)', 1), '^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g') AS h FROM e)
+SELECT doc_id, part::INT AS part, CASE WHEN h <> '' THEN h WHEN length(title) > 0 THEN title || ' (Part ' || part || ')' ELSE 'Document #' || part END AS title, body FROM h"""
+)
 def note_split(spark: SparkSession, d: str) -> DataFrame:
     return variants.split_notes(_records(spark, d))
 
 
-@_query()
+@_query(
+    rf"""WITH g AS (SELECT term_id, term, unnest(regexp_extract_all(term, '[\p{{L}}\p{{N}}]+')) AS shown,
+  generate_subscripts(regexp_extract_all(term, '[\p{{L}}\p{{N}}]+'), 1) - 1 AS "at" FROM glossary), w AS (SELECT *, lower(strip_accents(shown)) AS word FROM g), {stems("w")}
+SELECT term_id, term, CAST("at" AS INT) AS "at", shown AS word, stem, word IN {_STOP} AS is_stop_word FROM w JOIN stems USING (word)"""
+)
 def query_explain(spark: SparkSession, d: str) -> DataFrame:
     return variants.explain_table(table(spark, d, "glossary").select("term_id", "term"), "term")
 

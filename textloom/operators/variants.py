@@ -14,6 +14,8 @@ from textloom.operators.numbering import ranked
 
 #: Words of the bag modes: letters and digits, no underscore.
 WORD = r"[\p{L}\p{N}]+"
+#: White space of any script, which is trimmed.
+WHITE = r"[\s\p{Z}\x{FEFF}]+"
 # Stop words of the engine that the bag modes don't have, and one that only they have.
 BAG_STOP_WORDS = STOP_WORDS - frozenset(
     """aren arent can cant couldn couldnt d didn didnt doesn doesnt don dont hadn hadnt hasn hasnt haven havent isn isnt just ll m ma
@@ -24,6 +26,10 @@ wouldnt y""".split()
 ALL_STEMS = 1.35
 
 
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WHITE}|{WHITE}$", "")
+
+
 def bag_tokens(c: Column, least: int = 1, stop_words: frozenset[str] = BAG_STOP_WORDS) -> Column:
     """Stems for the bag modes. The text is decomposed but combining marks stay, so they part
     words; no upper bound; ``least`` 2 drops single characters."""
@@ -96,7 +102,7 @@ def _hits(words: Column, stems: list[str], raw: list[str]) -> Column:
 
 def sentences(body: Column) -> Column:
     flat = F.regexp_replace(F.regexp_replace(body, r"###\s+", ""), r"•\s+", "")
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?\n])\s+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?\n])\s+"), trimmed), lambda s: F.length(s) > 0)
 
 
 def _words_of(c: Column) -> Column:
@@ -171,7 +177,7 @@ def section_excerpts(docs: DataFrame, query: str, body: str = "body", key: str =
     """``doc_id, line, section, is_bullet, excerpt``: lines with a match, under the latest
     heading of ``#`` marks above them ("Document Overview" before the first)."""
     stems, raw = query_stems(query, config), query.lower().split()
-    lines = docs.select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
+    lines = docs.select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).withColumn("raw", trimmed(F.col("raw")))
     heading = F.when(F.col("raw").rlike(r"^#{1,6}\s+"), F.regexp_replace("raw", r"^#{1,6}\s+", ""))
     above = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.where("raw <> ''").withColumn("_h", heading).withColumn(
@@ -192,9 +198,9 @@ def section_excerpts(docs: DataFrame, query: str, body: str = "body", key: str =
 def split_notes(docs: DataFrame, title: str = "title", body: str = "body", key: str = "doc_id") -> DataFrame:
     """``doc_id, part, title, body``: notes parted by lines of three dashes, blank parts left
     out; the title is the first heading, else the note's title with the part's number."""
-    parts = F.filter(F.transform(F.split(F.col(body), r"\r?\n---\r?\n"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.col(body), r"\r?\n---\r?\n"), trimmed), lambda p: F.length(p) > 0)
     each = docs.select(key, F.col(title).alias("_title"), F.posexplode(parts).alias("_at", "body"))
-    heading = F.trim(F.regexp_extract("body", r"^#+\s*([^\n]+)", 1))
+    heading = trimmed(F.regexp_extract("body", r"^#+\s*([^\n]+)", 1))
     named = F.when(F.length("_title") > 0, F.concat("_title", F.lit(" (Part "), F.col("_at") + 1, F.lit(")")))
     numbered = F.concat(F.lit("Document #"), F.col("_at") + 1)
     return each.select(
