@@ -125,3 +125,42 @@ def test_running_sums_and_previous(spark):
     pairs = {(r.k, r.v): r.previous for r in with_previous(df, ["k"], "v").collect()}
     hot = sorted(v for k, v in pairs if k == "hot")
     assert [pairs["hot", v] for v in hot] == [None, *hot[:-1]]
+
+
+def test_readable_documents(spark):
+    from textloom.sources.readable import read_one, readable
+
+    page = "<html><head><title> A page </title><style>x</style></head><body><h2>Top</h2><p>One <b>two</b><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><hr>e<br>f<svg>no</svg></body></html>"
+    title, body, kind = read_one(page, "x.html")
+    assert (title, kind) == ("A page", "HTML Document") and "### Top" in body and "• a" in body and "| c" in body and "---" in body and "no" not in body
+    assert read_one("<body><div class='slides'><section><h1>S</h1></section></div></body>")[::2] == ("S", "HTML Presentation")
+    assert read_one('{"a": 1, "b": {"c": [2]}}', "x.json") == ("x.json", 'a: 1\nb: {"c":[2]}', "JSON Data")
+    assert read_one('["p", {"q": "r", "s": "t", "u": 1}]')[1] == "p\n\nr — t" and read_one("{broken")[2] == "Text Document"
+    assert read_one("x\n# Head\ny", "n.md")[::2] == ("Head", "Markdown") and read_one(None, None) == ("Untitled Document", "", "Text Document")
+    assert read_one("<html></html>")[1] == "<html></html>"
+    rows = readable(spark.createDataFrame([(1, page), (2, None)], "doc_id long, c string"), "doc_id", F.col("c"), F.lit("n.html")).collect()
+    assert {r.doc_id: r.doc_type for r in rows} == {1: "HTML Document", 2: "Text Document"}
+
+
+def test_clear_undo_restore_and_envelope(spark):
+    import json
+
+    from textloom.engine import SearchEngine
+
+    docs = spark.createDataFrame([(1, "alpha", False, "p"), (2, "alpha beta", True, "q"), (3, "beta", None, "gone")], "doc_id long, text string, is_sample boolean, path string")
+    engine = SearchEngine(spark).restore(docs, frozenset({"gone"}))
+    assert [r.doc_id for r in engine.search("alpha").collect()] == [1]
+    engine.clear().add_document(9, text="alpha")
+    assert [r.doc_id for r in engine.search("alpha").collect()] == [9]
+    assert {r.doc_id for r in engine.undo().search("alpha").collect()} == {1, 9}
+    shown = json.loads(engine.search_json("alpha", limit=1))
+    assert shown["query"] == "alpha" and shown["totalResults"] == 1 and shown["results"][0]["doc_id"] == 1 and shown["executionTimeMs"] > 0
+
+
+def test_hidden_and_ignored_files_are_not_listed(spark, tmp_path):
+    for name in ("a.md", "_b.py", ".c.md", "node_modules/d.js", ".git/e.md", "sub/F.TXT", "g.bin"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("x")
+    assert {r.path for r in files.read_folder(spark, str(tmp_path)).collect()} == {"a.md", "_b.py", "sub/F.TXT"}
+    assert files.read_folder(spark, str(tmp_path / ".git" / "..") + "/node_modules/..", 0).count() == 0

@@ -24,6 +24,7 @@ from textloom.plans import search as plans
 from textloom.plans.language import Phrase
 from textloom.plans.session import scratch, spread, table
 from textloom.sources import files, storage
+from textloom.sources.readable import readable
 from textloom.stems_sql import stems
 from textloom.streaming import log
 
@@ -827,9 +828,38 @@ def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return variants.bag_search(_index(spark, d), "segment index cache")
 
 
-@_query()
+@_query(
+    rf"""WITH d AS (SELECT doc_id, path, regexp_replace(regexp_replace(coalesce(text, ''), '###\s+', '', 'g'), '•\s+', '', 'g') AS flat FROM documents),
+e AS (SELECT doc_id, regexp_replace(flat, '([.!?\n])\s+', '\1' || chr(1), 'g') AS flat FROM d),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(flat, chr(1)), lambda x: regexp_replace(x, '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g')), lambda x: length(x) > 0) AS p FROM e),
+s AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS k FROM p),
+w AS (SELECT doc_id, k, sentence, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+')) AS word FROM s), {stems("w")},
+h AS (SELECT doc_id, k, sentence, count(*) AS n FROM w JOIN stems USING (word) WHERE word IN ('cipher', 'bitmap') OR stem IN ('cipher', 'bitmap') GROUP BY doc_id, k, sentence),
+b AS (SELECT doc_id, arg_max(sentence, n * 100000 - k) AS best, sum(n)::BIGINT AS match_count FROM h GROUP BY doc_id),
+x AS (SELECT *, string_split_regex(best, '\s+') AS parts FROM b),
+y AS (SELECT *, greatest(list_position(list_transform(parts, lambda w: regexp_matches(regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]', '', 'g'), '^(cipher|bitmap)(s|ed|ing)?$')), TRUE) - 1, 0) AS m FROM x),
+z AS (SELECT *, greatest(m - 5, 0) AS a, least(m + 16, len(parts)) AS o FROM y)
+SELECT d.doc_id, CASE WHEN best IS NULL THEN regexp_replace(left(flat, 130), '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g') || CASE WHEN length(flat) > 130 THEN ' …' ELSE '' END
+  WHEN length(best) <= 180 THEN best ELSE CASE WHEN a > 0 THEN '… ' ELSE '' END || array_to_string(parts[a + 1:o], ' ') || CASE WHEN o < len(parts) THEN ' …' ELSE '' END END AS snippet,
+ coalesce(match_count, 0)::BIGINT AS match_count, CASE WHEN best IS NULL THEN 'none' ELSE 'body' END AS place FROM d LEFT JOIN z USING (doc_id)"""
+)
 def sentence_snippet(spark: SparkSession, d: str) -> DataFrame:
-    return variants.sentence_snippets(_documents(spark, d), "cipher bitmap", body="text", config=PLAIN)
+    return variants.sentence_snippets(_documents(spark, d), "cipher, bitmap", body="text", config=PLAIN)
+
+
+@_query()
+def readable_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Title, text and kind of each body, whatever its path says."""
+    return readable(_records(spark, d).where("body is not null"), "doc_id", F.col("body"), F.lit(""))
+
+
+@_query(
+    "SELECT DISTINCT doc_id FROM indexable_docs WHERE doc_id IS NOT NULL AND category IS DISTINCT FROM 'query' AND NOT coalesce(path LIKE 'tutorial/%', FALSE)"
+)
+def restored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Stored documents after a start, samples purged by flag and kind."""
+    docs = _records(spark, d).select("doc_id", F.col("category").alias("doc_type"), F.col("path").startswith("tutorial/").alias("is_sample"))
+    return variants.without_samples(docs, kinds=("query",)).select("doc_id")
 
 
 @_query()

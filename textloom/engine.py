@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions.analysis import AnalyzerConfig
-from textloom.operators import index as tables
+from textloom.operators import index as tables, variants
 from textloom.plans import search as plans
 from textloom.plans.session import cut
 from textloom.sources import files, storage
@@ -34,6 +36,7 @@ class SearchEngine:
         self._pending: DataFrame | None = None
         self._index: tables.Index | None = None
         self._segments = 0
+        self._cleared: tuple | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, log_folder: str | None = None) -> SearchEngine:
@@ -113,10 +116,33 @@ class SearchEngine:
         return self
 
     def clear(self) -> SearchEngine:
-        """Forget all documents; what was committed stays until the next commit."""
+        """Forget all documents; what was committed stays until the next commit, and ``undo`` brings
+        them back."""
+        self._cleared = (self._pending, self._index, self._segments)
         self._pending, self._index, self._segments = None, None, 0
         return self
 
+    def undo(self) -> SearchEngine:
+        """Bring back what the last ``clear`` forgot; documents added since then are kept too."""
+        if self._cleared is not None:
+            added, index = self._pending, self._index
+            (self._pending, self._index, self._segments), self._cleared = self._cleared, None
+            if index is not None:
+                self._extend(index.docs.drop("length"))
+            if added is not None:
+                self._extend(added)
+        return self
+
+    def search_json(self, query: str, **options) -> str:
+        """The rows of a search in an envelope with their number and the time taken."""
+        began = time.perf_counter()
+        rows = self.search(query, **options).collect()  # at most ``limit`` rows
+        return variants.envelope(query, rows, (time.perf_counter() - began) * 1000)
+
+    def restore(self, docs: DataFrame, paths: frozenset[str] = frozenset()) -> SearchEngine:
+        """Add stored documents, samples left out."""
+        return self.add_documents(variants.without_samples(docs, paths))
+
     def commit(self) -> str:
         if not self.path:
             raise ValueError("no path to write the index to")

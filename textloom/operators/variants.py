@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -109,11 +111,39 @@ def _words_of(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
 
 
-def sentence_snippets(docs: DataFrame, query: str, body: str = "body", key: str = "doc_id", config: AnalyzerConfig | None = None) -> DataFrame:
-    """``doc_id, snippet, match_count``: of each document with a match the sentence with most
-    matching words, the first of equals; one above 180 characters is cut to five words before
-    the first match and sixteen from it on."""
-    stems, raw = query_stems(query, config), query.lower().split()
+# Characters shown of a body where its title matches, and where nothing does.
+TITLE_PREVIEW, PREVIEW = 110, 130
+
+
+def _plain_words(query: str) -> list[str]:
+    """Words between blanks, lower-cased, without signs."""
+    words = (re.sub(r"[^\w]", "", w, flags=re.A) for w in query.lower().split())
+    return [w for w in words if w]
+
+
+def sentence_snippets(
+    docs: DataFrame, query: str, body: str = "body", key: str = "doc_id", config: AnalyzerConfig | None = None, title: str | None = None
+) -> DataFrame:
+    """``doc_id, snippet, match_count, place``: of each document the sentence with most matching
+    words, the first of equals; one above 180 characters is cut to five words before the first
+    match and sixteen from it on. Where only the ``title`` matches, and where nothing does, the
+    body's beginning (``place`` 'body', 'title' or 'none'). A null body is empty."""
+    stems, raw = query_stems(query, config), _plain_words(query)
+    best = _best_sentences(docs, stems, raw, body, key)
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"###\s+", ""), r"•\s+", "")
+    words = _words_of(F.coalesce(F.col(title), F.lit(""))) if title else F.array().cast("array<string>")
+    shown = docs.select(key, flat.alias("_flat"), words.alias("_title")).withColumn("_in_title", _both(stem_all(F.col("_title")), F.col("_title"), stems, raw))
+    begun = trimmed(F.left("_flat", F.lit(PREVIEW)))
+    begun = F.when(F.length("_flat") > PREVIEW, F.concat(begun, F.lit(" …"))).otherwise(begun)
+    otherwise = F.when(F.col("_in_title") > 0, trimmed(F.left("_flat", F.lit(TITLE_PREVIEW)))).otherwise(begun)
+    place = F.when(F.col("snippet").isNotNull(), "body").when(F.col("_in_title") > 0, "title").otherwise("none")
+    return shown.join(best, key, "left").select(
+        key, F.coalesce("snippet", otherwise).alias("snippet"),
+        F.coalesce("match_count", F.col("_in_title").cast("long")).alias("match_count"), place.alias("place"),
+    )
+
+
+def _best_sentences(docs: DataFrame, stems: list[str], raw: list[str], body: str, key: str) -> DataFrame:
     each = docs.select(key, F.posexplode(sentences(F.col(body))).alias("at", "sentence"))
     each = each.withColumn("_stems", stem_all(_words_of(F.col("sentence")))).withColumn(
         "n", _hits(F.col("_stems"), stems, stems) if not raw else _both(F.col("_stems"), _words_of(F.col("sentence")), stems, raw)
@@ -273,3 +303,21 @@ def nearest_rank(df: DataFrame, value: str, quantiles: dict[str, float], by: lis
     picks = [F.max(F.when(F.col("_at") == k, F.col(value))).alias(name) for name, k in at.items()]
     out = both.groupBy("_key").agg(F.first("min").alias("min"), F.first("max").alias("max"), *picks)
     return out.select(*(F.col("_key")[b].alias(b) for b in by), "min", "max", *quantiles)
+
+
+def without_samples(docs: DataFrame, paths: frozenset[str] = frozenset(), kinds: tuple[str, ...] = ("Technical Paper",)) -> DataFrame:
+    """Stored documents without samples: those flagged ``is_sample``, of one of ``kinds`` or under one
+    of ``paths``; columns that are missing, and nulls, say nothing."""
+    sample = F.lit(False)
+    for name, condition in (
+        ("is_sample", lambda c: c), ("doc_type", lambda c: c.isin(list(kinds))), ("path", lambda c: c.isin(sorted(paths)) if paths else F.lit(False)),
+    ):
+        if name in docs.columns:
+            sample = sample | F.coalesce(condition(F.col(name)), F.lit(False))
+    return docs.where(~sample)
+
+
+def envelope(query: str, rows: list, milliseconds: float) -> str:
+    """A result as JSON: the query, how many rows were returned, the time, and the rows."""
+    shown = [r.asDict(recursive=True) for r in rows]
+    return json.dumps({"query": query, "totalResults": len(shown), "executionTimeMs": round(milliseconds, 2), "results": shown}, ensure_ascii=False)

@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -148,7 +149,26 @@ def read_folder(spark: SparkSession, folder: str, largest: int = LARGEST) -> Dat
     if not found:
         return spark.createDataFrame([], _DOC)
     relative = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", root)) + "/", "")
-    return spark.read.format("binaryFile").load(found).select(relative.alias("path"), "content").mapInPandas(_read, _DOC)
+    kept, hidden = [], []
+    for x in found:  # Spark takes names that begin with an underscore for files of its own and leaves them out
+        (hidden if "/_" in x[len(root) :] or x.rpartition("/")[2].startswith("_") else kept).append(x)
+    contents = []
+    if kept:
+        contents.append(spark.read.format("binaryFile").load(kept).select("path", "content"))
+    if hidden:
+        paths = spark.createDataFrame([(x,) for x in hidden], "path string").repartition(min(len(hidden), 200))
+        contents.append(paths.mapInPandas(_open, "path string, content binary"))
+    return reduce(DataFrame.unionByName, contents).select(relative.alias("path"), "content").mapInPandas(_read, _DOC)
+
+
+def _open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for frame in frames:
+        for uri in frame["path"]:
+            system, path = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
+            with system.open_input_file(path) as f:
+                yield pd.DataFrame({"path": [uri], "content": [f.read()]})
 
 
 def with_ids(docs: DataFrame, first: int = 1) -> DataFrame:
