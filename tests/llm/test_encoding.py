@@ -49,3 +49,13 @@ def test_equals_the_other_library(spark):
     texts = ["naïve  café\n\n 12345", "検索語 👩‍💻 ok", "don't I'LL  \t x", " \u00a0 "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.ids for r in encoding.encode(df).collect()} == {k: other.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_spans_of_rows(spark):
+    from textloom.llm.encoding import encode_spans, spans
+
+    texts = ["Straße 👩‍💻 x", "", None, "plain words"]
+    out = encode_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        assert list(zip(r.ids, r.starts, r.ends)) == spans(texts[r.doc_id] or "")
+    assert [r.ids for r in out if not texts[r.doc_id]] == [[], []]

@@ -85,3 +85,12 @@ def test_empty_table(spark):
     from textloom.llm.packing import pack
 
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens int")).count() == 0
+
+
+def test_fill(spark):
+    from textloom.llm.packing import fill, pack
+
+    sizes = spark.createDataFrame([(k, n) for k, n in enumerate([5, 5, 6, 4, 3, 7, 0, None, 23])], "doc_id long, n_tokens int")
+    row = fill(pack(sizes, 10), 10).first().asDict()
+    assert row == {"items": 9, "tokens": 53, "containers": 6, "lower_bound": 6, "mean_fill": 0.883333, "over": 0}
+    assert fill(pack(sizes.limit(0), 10), 10).first().containers == 0

@@ -107,6 +107,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(_rows(spark, d, "documents", "doc_id", "text"))
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of each text with the characters that each token spans."""
+    return encoding.encode_spans(_rows(spark, d, "documents", "doc_id", "text"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts read back from their ids."""
+    return encoding.decode(p7_ids(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, and how few there could be at best."""
+    return packing.fill(p8_containers(spark, d))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(encoding.token_counts(_rows(spark, d, "documents", "doc_id", "text")))
 
@@ -142,6 +157,18 @@ l AS (SELECT s.doc_id, coalesce(st.stated, s.total) AS length, s.total FROM s LE
 t AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM p GROUP BY term)"""
 
 _ORACLES = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p4_groups": r"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body), '[\p{L}\p{N}_]+') AS w
+  FROM indexable_docs WHERE body IS NOT NULL AND doc_id IS NOT NULL AND len(regexp_extract_all(body, '[\p{L}\p{N}_]+')) >= 25),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM n),
+r AS (SELECT s.* FROM s JOIN m USING (doc_id) WHERE m.class_id = m.doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE k / (x.n + y.n - k) >= 0.6),
+t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+g AS (SELECT a, least(min(b), a) AS g FROM t GROUP BY a), e AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT m.doc_id, m.class_id, coalesce(g.g, m.class_id) AS group_id, coalesce(e.links, 0)::BIGINT AS n_links FROM m LEFT JOIN g ON g.a = m.class_id LEFT JOIN e ON e.a = m.class_id""",
     "p1_found": r"""WITH o AS (SELECT options_id, min(piece_chars) AS c, coalesce(min(max_token_length), 64) AS w
   FROM analyzer_options GROUP BY options_id),
 b AS (SELECT DISTINCT doc_id, body, coalesce(o.c, 1200) AS c, coalesce(o.w, 64) AS w

@@ -94,6 +94,23 @@ def spans(text: str, path: str | None = None) -> list[tuple[int, int, int]]:
     return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
 
+def encode_spans(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """``key, ids, starts, ends`` of each row's whole text: what ``spans`` gives of one text."""
+    path = path or f"{TOKENIZERS}/{BYTE_BPE}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int32())
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                rows = [spans(x or "", path) for x in batch.column(1).slice(k, 64).to_pylist()]
+                columns = [pa.array([[t[n] for t in row] for row in rows], lists) for n in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 64), *columns], ["key", "ids", "starts", "ends"])
+
+    pairs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = pairs.schema["key"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"key {kind}, ids array<int>, starts array<int>, ends array<int>").toDF(key, "ids", "starts", "ends")
+
+
 def decode_ids(ids: list[int], path: str | None = None) -> str:
     """Text of ``ids``: vocabulary characters go back to bytes, and the bytes of all tokens
     are joined before UTF-8 is read, so characters split between tokens come back whole."""

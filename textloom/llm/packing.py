@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.plans.session import cut
 
@@ -212,8 +212,6 @@ def pack(sizes: DataFrame, capacity: int = 2048, slices: int = SLICES) -> DataFr
         running[row["n_tokens"]] = offsets[-1][2] + row["count"]
     spark = sizes.sparkSession
     known = spark.createDataFrame(offsets, "n_tokens int, _slice int, _before long")
-    from pyspark.sql import Window
-
     in_slice = Window.partitionBy("n_tokens", "_slice").orderBy("doc_id", "piece")
     ranked = (
         part.withColumn("_row", F.row_number().over(in_slice))
@@ -232,3 +230,17 @@ def pack(sizes: DataFrame, capacity: int = 2048, slices: int = SLICES) -> DataFr
         .select("doc_id", "piece", F.lit(capacity).alias("n_tokens"), (F.lit(used) + F.col("_id")).alias("container_id"))
     )
     return placed.unionByName(full).unionByName(loose)
+
+
+def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row ``items, tokens, containers, lower_bound, mean_fill, over``: containers used against
+    the least number that could hold so many tokens, and containers above the capacity (0)."""
+    held = packed.where("container_id is not null").groupBy("container_id").agg(
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("items")
+    )
+    return held.agg(
+        F.coalesce(F.sum("items"), F.lit(0)).cast("long").alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"),
+        F.count("*").alias("containers"), F.coalesce(F.ceil(F.sum("tokens") / capacity), F.lit(0)).cast("long").alias("lower_bound"),
+        F.round(F.coalesce(F.avg(F.col("tokens") / capacity), F.lit(0.0)), 6).alias("mean_fill"),
+        F.count_if(F.col("tokens") > capacity).alias("over"),
+    )
