@@ -449,14 +449,24 @@ def fit_counts(df: DataFrame, text: str = "text") -> Grams:
     words = words.groupBy("w").count().select(F.regexp_replace("w", r"(\p{L})\1{2,}", "$1").alias("w"), "count")
     padded = F.concat(F.lit(_EDGE * (_ORDER - 1)), F.regexp_replace("w", f"[^{letters}]", _OTHER), F.lit(_EDGE))
     weighted = words.groupBy("w").agg(F.sum("count").alias("count")).select(padded.alias("p"), F.round(F.log1p("count") / _UNIT).cast("long").alias("weight"))
-    at = F.sequence(F.lit(_ORDER), F.length("p"))
-    grams = F.transform(at, lambda k: F.transform(F.sequence(F.lit(0), F.lit(_ORDER - 1)), lambda n: F.substr("p", k - n, n + 1)))
-    # the empty one stands for the words themselves
-    summed = (
-        weighted.select(F.explode(F.concat(F.flatten(grams), F.array(F.lit("")))).alias("gram"), "weight")
-        .where(~F.col("gram").rlike(f"{_OTHER}."))
-        .groupBy("gram")
-        .agg(F.sum("weight").alias("weight"), F.count("*").alias("words"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, int] = {}
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in range(_ORDER - 1, len(word)):
+                    for start in range(k, k - _ORDER, -1):
+                        if start < k and word[start] == _OTHER:
+                            break
+                        gram = word[start : k + 1]
+                        held[gram] = held.get(gram, 0) + n
+            total = sum(batch.column(1).to_pylist())
+            # the empty one stands for the words themselves
+            columns = [[*held, ""], [*held.values(), total], [*[0] * len(held), batch.num_rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["gram", "weight", "words"])
+
+    summed = weighted.mapInArrow(grams, "gram string, weight long, words long").groupBy("gram").agg(
+        F.sum("weight").alias("weight"), F.sum("words").alias("words")
     )
     out = Grams()
     for gram, weight, n in zip(*(c.to_pylist() for c in summed.toArrow().columns), strict=True):

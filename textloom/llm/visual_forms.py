@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata as ud
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +35,8 @@ INVISIBLE = [
 ]
 # Letters of Roman numerals as characters of their own.
 NUMERALS = [(0x2160, 0x217F)]
+# Fixed value: the last character that Unicode gives a decomposition.
+LAST_DECOMPOSED = 0x2FA1D
 #: Kinds of compatibility forms that differ in width or encoding only.
 _KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 
@@ -44,7 +45,7 @@ def _rules() -> dict[str, str]:
     """Rules: widths, ligatures and numerals from Unicode's own decompositions, spaces from their
     category, hyphens, invisible characters, and the look-alikes and sequences above."""
     rules: dict[str, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in range(0x80, LAST_DECOMPOSED + 1):
         c = chr(cp)
         if ud.category(c) == "Zs":
             rules[c] = " "
