@@ -862,7 +862,15 @@ def restored_documents(spark: SparkSession, d: str) -> DataFrame:
     return variants.without_samples(docs, kinds=("query",)).select("doc_id")
 
 
-@_query()
+@_query(
+    rf"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(text, '###\s+', '', 'g'), '•\s+', '', 'g'), '\s+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS shown, generate_subscripts(words, 1) AS k FROM d), v AS (SELECT *, regexp_replace(lower(shown), '[^\w]', '', 'g') AS word FROM u), {stems("v")},
+h AS (SELECT v.*, stem IN ('cipher', 'bitmap') AS hit FROM v JOIN stems USING (word)),
+f AS (SELECT doc_id, greatest(coalesce(min(k) FILTER (hit), 0) - 5, 0) AS a, max(k) AS n FROM h GROUP BY doc_id),
+t AS (SELECT h.doc_id, any_value(f.a) AS a, any_value(f.n) AS n, string_agg(CASE WHEN hit THEN '<mark>' || shown || '</mark>' ELSE shown END, ' ' ORDER BY k) AS t
+  FROM h JOIN f USING (doc_id) WHERE k > f.a AND k <= f.a + 28 GROUP BY h.doc_id)
+SELECT d.doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || t || CASE WHEN a + 28 < n THEN '...' ELSE '' END AS snippet FROM d LEFT JOIN t USING (doc_id)"""
+)
 def window_snippet(spark: SparkSession, d: str) -> DataFrame:
     return variants.window_snippets(_documents(spark, d), "cipher bitmap", body="text", config=PLAIN)
 
