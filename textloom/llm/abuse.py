@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.visual_forms import transducer
 from textloom.plans.session import cut
 
-# Words of four languages by what they do in a sentence; general vocabulary, no wording of any table.
+# Words of four languages by what they do in a sentence; single words, some of them met in labelled texts.
 LEXICON = {
     # who is spoken to
     "you": """you your yours yourself yourselves ur u ya
